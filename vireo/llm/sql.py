@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vireo.llm import decontam, packing
+from vireo.llm import decontam, packing, sharding, vafile
 
 _PACKING = f"""
 WITH RECURSIVE n AS (
@@ -67,4 +67,23 @@ SELECT doc_id,
 FROM found
 """
 
-ORACLES = {"op1_decontamination": _DECONTAMINATION, "op3_packing": _PACKING}
+_SHARDING = f"""
+WITH below AS (
+  SELECT *, coalesce(sum(strlen(coalesce(text, ''))) OVER (ORDER BY doc_id NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    - sum(strlen(coalesce(text, ''))) OVER (PARTITION BY doc_id), 0)::HUGEINT AS b, sum(strlen(coalesce(text, ''))) OVER ()::HUGEINT AS total FROM documents
+)
+SELECT doc_id, text, lang, source, n_chars,
+  CASE WHEN doc_id IS NULL OR total = 0 THEN 0 ELSE least({sharding.SHARDS} - 1, b * {sharding.SHARDS} // total) END::INTEGER AS shard_id
+FROM below
+"""
+
+_TOP_K = f"""
+WITH pair AS (
+  SELECT q.vec_id, x.vec_id AS neighbour, sqrt(list_sum(list_transform(list_zip(q.embedding, x.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))) AS d
+  FROM embeddings q JOIN embeddings x ON q.vec_id <> x.vec_id
+)
+SELECT vec_id, rank::INTEGER AS rank, neighbour, round(d, 6) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) AS rank FROM pair) WHERE rank <= {vafile.K}
+"""
+
+ORACLES = {"op1_decontamination": _DECONTAMINATION, "op2_sharding": _SHARDING, "op3_packing": _PACKING, "op8_top_k": _TOP_K}
