@@ -12,7 +12,7 @@ from enum import Enum
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vireo.functions import scalars as X
@@ -45,6 +45,21 @@ def folder(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     return files.select(F.col("path"), F.col("content").alias("body"))
 
 
+def declaring(files: DataFrame) -> DataFrame:
+    """(path, body, package) of the files ``name.txt`` that declare the package they are named after."""
+    package = F.regexp_extract("path", r"([^/]*)\.txt$", 1)
+    line = F.concat(F.lit("@package "), package)
+    return files.withColumn("package", package).where((package != "") & F.contains(F.decode("body", "UTF-8"), line))
+
+
+def path_order(path: Column) -> Column:
+    """Paths as what they sort by: folder names by name and then by version, number by number, greatest first."""
+    number = lambda v: F.transform(F.split(v, r"\."), lambda x: F.lpad((F.lit(10**9) - x.cast("bigint")).cast("string"), 10, "0"))
+    version = lambda p: F.regexp_extract(p, r"-([0-9]{1,9}(?:\.[0-9]{1,9})*)$", 1)
+    part = lambda p: F.when(version(p) == "", p).otherwise(F.concat_ws("\0", F.regexp_replace(p, r"-[0-9.]+$", ""), F.array_join(F.concat(number(version(p)), F.array(F.lit("~"))), ".")))
+    return F.array_join(F.transform(F.split(path, "/"), part), "\1")
+
+
 def latest_files(files: DataFrame) -> DataFrame:
     """Of ``name/version/...`` paths the file of each name's greatest version."""
     parts = F.split("path", "/")
