@@ -4,7 +4,7 @@ Statistics of a document come from whole texts in numpy. Training takes at most
 feature by its quantiles, and grows trees of fixed depth from gradient histograms. The trees are flattened into arrays:
 scoring walks all documents of a batch down one level of a tree per step.
 
-Defined results: null and empty texts have statistics of zero and are scored like any other; with no labels, or labels
+Defined results: null and empty texts have the same statistics and are scored like any other; with no labels, or labels
 of one class only, the score is that class's share (null without labels, and then every document is kept); a value equal
 to a threshold goes left, so ties do not depend on order.
 """
