@@ -61,7 +61,8 @@ def parse(page: str) -> tuple[list[str], list[int], list[tuple[int, str]]]:
     while at < length:
         m = _TAG.search(page, at, last) if at < last else None
         if not m:
-            text(page[at:])
+            cut = page.find("<!--", at)
+            text(page[at:] if cut < 0 else page[at:cut])
             break
         text(page[at : m.start()])
         at = m.end()
