@@ -288,6 +288,12 @@ class _Parser:
 
     def name(self) -> str:
         if self.take("("):
+            commas = ""
+            while self.take(","):
+                commas += ","
+            if commas or self.peek() == ")":
+                self.expect(")")
+                return f"({commas})"
             k, w = self.kind(), self.next()
             self.expect(")")
             if k not in ("op", "var", "con"):
@@ -299,7 +305,8 @@ class _Parser:
 
     def head(self) -> tuple[str, list[str]]:
         """A declared type's name with its binders; the name may be infix or in brackets."""
-        if self.kind() in ("var",) or self.peek() == "(" and not (self.kind(1) == "op" and self.peek(2) == ")"):
+        tuple_name = self.peek() == "(" and self.peek(1) in (",", ")")
+        if not tuple_name and (self.kind() in ("var",) or self.peek() == "(" and not (self.kind(1) == "op" and self.peek(2) == ")")):
             at = self.i
             try:
                 a = self.binder()
@@ -465,7 +472,8 @@ def _record(text: str) -> Decl | None:
 def parse_declaration(text: str) -> Decl:
     """One declaration; a signature that starts with an upper-case letter or a bracket is a constructor, whose fields
     lose their strictness marks."""
-    if not text:
+    text = re.sub(r"\{-#.*?#-\}", " ", text)
+    if not text.strip():
         raise GrammarError("empty")
     if text[0].isupper() or text[0] == "(":
         found = _record(text)
