@@ -28,6 +28,7 @@ import os
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -270,10 +271,12 @@ def fit(documents: DataFrame) -> tuple[Model, float]:
     mass = common.written(shipped.groupBy("split").applyInArrow(_write_split(m), "word bigint, mass double"), "mass").groupBy("word").agg(F.sum("mass").alias("mass"))
     mass = common.written(mass, "masses")
     unknown = mass.where(F.col("word") == int(bases[-1])).first()
-    own = F.lit(None).cast("int")
-    for p in range(len(bases) - 2, -1, -1):
-        own = F.when(F.col("word") < int(bases[p + 1]), F.lit(p)).otherwise(own)
-    mass.withColumn("part", own).where("part is not null").groupBy("part").applyInArrow(_write_backoff(m), "part int").collect()
+
+    @F.pandas_udf("int")
+    def part_of(word: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bases, word, side="right") - 1, dtype="int32")
+
+    mass.where(F.col("word") < int(bases[-1])).withColumn("part", part_of("word")).groupBy("part").applyInArrow(_write_backoff(m), "part int").collect()
     return m, 1 - (unknown["mass"] / m.unknown if unknown and m.unknown else 0.0)
 
 
