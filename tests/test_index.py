@@ -123,6 +123,13 @@ def test_paging_starts_at_the_start(sample):
     assert parts == whole[:6]
 
 
+def test_facets_and_sizes(sample):
+    assert [(r["category"], r["value"]) for r in sample.facets("each").orderBy("ord").collect()] == [("is", "exact"), ("package", "core"), ("package", "more")]
+    assert [(r["category"], r["value"]) for r in sample.facets("each +more").orderBy("ord").collect()] == [("is", "exact")]
+    sizes = {r["label"]: r["total"] for r in sample.sizes().collect()}
+    assert sizes["Total"] == sum(v for k, v in sizes.items() if k != "Total") > 0
+
+
 def test_broken_indexes(spark, sample, tmp_path):
     with pytest.raises(IndexError_, match="no index"):
         open_index(spark, f"file://{tmp_path}/none")

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vireo.functions import scalars as X
-from vireo.functions.querylang import Query, parse_query, parse_tag
-from vireo.functions.signatures import Sig, parse_type, to_signature
+from vireo.functions.querylang import Query, parse_query
+from vireo.functions.signatures import Sig, parse_type, preorder, to_signature
 from vireo.operators import names, relations, scopes, sequences, typesearch
 from vireo.session import written
 from vireo.sources import files as sources
@@ -177,8 +177,6 @@ class Index:
 
     def _ids(self, sig: Sig) -> dict[str, int]:
         """Numbers of the names a query uses."""
-        from vireo.functions.signatures import preorder
-
         wanted = {"->", "Maybe", *("~" + c for c, _ in sig.ctx), *(n for tag, n, _ in preorder(sig.types) if tag == "con")}
         return {r["name"]: r["id"] for r in self.ctor_names.where(F.col("name").isin(*wanted)).collect()}
 
@@ -223,3 +221,17 @@ class Index:
         best = hits.orderBy("rank").offset(max(1, start) - 1).limit(n)
         best = best.withColumn("rank", F.row_number().over(Window.orderBy("rank")) + (max(1, start) - 1))  # over at most n rows
         return relations.materialise(best, self.items).select("rank", "url", "package", "module", "kind", "item", "docs")
+
+    def facets(self, text: str, n: int = 500) -> DataFrame:
+        """(ord, category, value) to narrow the first n results by, without the scopes that the query has."""
+        selected = [t for _, t in scopes.resolve(self.names.where("kind = 'package'").select("name", "ord"), parse_query(text).scopes)[0] if t]
+        rows = self.search(text, n).select(F.col("package.name").alias("package"), "kind", "rank")
+        return scopes.facets(rows, selected)
+
+    def sizes(self) -> DataFrame:
+        """(label, total, share): the bytes of every table, and their sum."""
+        rows = []
+        for t in TABLES:
+            p, fs = _path(self.spark, f"{self.path}/{t}")
+            rows.append((t, float(fs.getContentSummary(p).getLength())))
+        return sequences.share_of_total(self.spark.createDataFrame(rows, "label string, bytes double"), "label", "bytes")
