@@ -47,11 +47,12 @@ def _clean(vectors: DataFrame, id_: str, vector: str) -> tuple[DataFrame, int]:
     return v.where(F.size("v") == n), n
 
 
-def _cell_bounds(v: DataFrame, dims: int, cells: int) -> np.ndarray:
-    """(dimensions, cells - 1) quantiles, over all vectors."""
+def _cell_bounds(v: DataFrame, dims: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dimensions, cells - 1) quantiles over all vectors, and each dimension's least and greatest value."""
     shares = [i / cells for i in range(1, cells)]
-    row = v.agg(*[F.percentile_approx(F.col("v")[d], shares, 10_000) for d in range(dims)]).first()
-    return np.array([list(x) for x in row])
+    values = v.select(F.posexplode("v").alias("d", "x")).groupBy("d")
+    rows = sorted(values.agg(F.percentile_approx("x", shares, 10_000).alias("q"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect())
+    return np.array([r["q"] for r in rows]), np.array([r["lo"] for r in rows]), np.array([r["hi"] for r in rows])
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -122,13 +123,25 @@ def search(files: list[File], centres: np.ndarray, q: np.ndarray, own: np.ndarra
             mine = (own >= start + a) & (own < start + z)
             hi[mine, own[mine] - start - a] = np.inf
             lo[mine, own[mine] - start - a] = np.inf
-            part = np.partition(hi, k - 1, axis=1)[:, :k] if hi.shape[1] > k else hi
-            upper = np.partition(np.concatenate([upper, part], axis=1), k - 1, axis=1)[:, :k]
-            r, j = np.nonzero(lo <= upper.max(axis=1)[:, None])
-            fine = np.isfinite(lo[r, j])
-            rows.append(r[fine])
-            at.append(j[fine] + start + a)
-            lows.append(lo[r, j][fine])
+            limit = upper.max(axis=1)
+            if np.isinf(limit).any():  # no bound yet: the block's own smallest upper bounds
+                part = np.partition(hi, k - 1, axis=1)[:, :k] if hi.shape[1] > k else hi
+                upper = np.partition(np.concatenate([upper, part], axis=1), k - 1, axis=1)[:, :k]
+                limit = upper.max(axis=1)
+                r, j = np.nonzero((lo <= limit[:, None]) & np.isfinite(lo))
+            else:  # only vectors that may come in can lower a bound
+                r, j = np.nonzero((lo <= limit[:, None]) & np.isfinite(lo))
+                if len(r):
+                    first = np.searchsorted(r, np.arange(len(q) + 1))
+                    few = np.full((len(q), int(np.diff(first).max())), np.inf)
+                    few[r, np.arange(len(r)) - first[r]] = hi[r, j]
+                    upper = np.partition(np.concatenate([upper, few], axis=1), k - 1, axis=1)[:, :k]
+                    limit = upper.max(axis=1)
+                    some = lo[r, j] <= limit[r]
+                    r, j = r[some], j[some]
+            rows.append(r)
+            at.append(j + start + a)
+            lows.append(lo[r, j])
         start += len(f.ids)
     rows, at, lows = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (rows, at, lows))
     limit = upper.max(axis=1)
@@ -166,9 +179,8 @@ def top_k(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding", k:
     if not dims:
         return spark.createDataFrame([], schema)
     v = common.written(v, "vectors")
-    bounds = _cell_bounds(v, dims, cells)
-    ends = v.agg(*[F.min(F.col("v")[d]) for d in range(dims)], *[F.max(F.col("v")[d]) for d in range(dims)]).first()
-    centres = _centres(bounds, np.array(ends[:dims]), np.array(ends[dims:]))
+    bounds, low, high = _cell_bounds(v, dims, cells)
+    centres = _centres(bounds, low, high)
     folder = common.local_path(common.shared_path(spark, "cells"))
     os.makedirs(folder, exist_ok=True)
     names = [n for n in write_files(v, dims, bounds, centres, folder) if n[1]]
