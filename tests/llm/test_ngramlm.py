@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vireo.llm import eliasfano, ngramlm
+from vireo.llm import eliasfano, ngramlm, queries
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -98,3 +98,30 @@ def test_empty_table(spark):
     assert ngramlm.scored(docs, docs).count() == 0
     docs = spark.createDataFrame([(1, "")], "doc_id bigint, text string")
     assert [tuple(r) for r in ngramlm.scored(docs, docs).collect()] == [(1, 0, None)]
+
+
+def test_the_query_keeps_what_occurs_once(spark, tmp_path):
+    """Every n-gram counts, discounted alike; nothing is an unknown word."""
+    q = lambda p: 2.0 ** (-min(255, max(0, round(-8 * math.log2(max(p, 1e-12))))) / 8)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(400)], weights=[1 / (i + 1) for i in range(400)], k=rng.randrange(1, 60))) for _ in range(80)]
+    texts += ["", "seen once only here", "w1 seen", "w1 w1 w1"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.bits_per_token for r in queries.op5_lm_scoring(spark, str(tmp_path)).collect()}
+    docs = [t.split() for t in texts]
+    one = Counter(w for d in docs for w in d)
+    two = Counter(x for d in docs for x in zip(d, [*d[1:], "</s>"]))
+    three = Counter(x for d in docs for x in zip(d, d[1:], [*d[2:], "</s>"]))
+    after1, after2 = Counter(x[0] for x in two), Counter(x[:2] for x in three)
+    assert min(one.values()) == 1 and sum(c == 1 for c in three.values()) > len(three) / 2
+    for i, d in enumerate(docs):
+        bits = 0.0
+        for j, w in enumerate(d):
+            p = q(one[w] / sum(one.values()))
+            if j:
+                p = q((two[d[j - 1], w] - 0.75) / one[d[j - 1]]) + q(0.75 * after1[d[j - 1]] / one[d[j - 1]]) * p
+            if j > 1:
+                ab = d[j - 2], d[j - 1]
+                p = q((three[(*ab, w)] - 0.75) / two[ab]) + q(0.75 * after2[ab] / two[ab]) * p
+            bits -= math.log2(p)
+        assert found[i] == (pytest.approx(bits / len(d), abs=1e-5) if d else None)

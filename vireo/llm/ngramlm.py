@@ -1,7 +1,8 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The model is a trigram model of the whole corpus with interpolated absolute discounting. Words seen once are one unknown
-word; bigrams and trigrams seen once are left out, and their mass goes to the lower order:
+The model is a trigram model of the whole corpus with interpolated absolute discounting. Every word, bigram and trigram
+that occurs ``least`` times is kept; the query keeps those seen once. With a larger ``least``, words seen less often are
+one unknown word, and the mass of bigrams and trigrams seen less often goes to the lower order:
 
     p(c | a b) = q3(a b c) + b3(a b) * p(c | b),  p(c | b) = q2(b c) + b2(b) * p1(c)
 
@@ -47,6 +48,7 @@ class Model(NamedTuple):
     unknown: int  # how often the unknown word occurs
     bases: np.ndarray  # id of the first word of each vocabulary file, and the number of words
     splits: int
+    least: int  # how often an n-gram of the trie occurs at least
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -218,9 +220,9 @@ def _write_split(m: Model):
         of = np.cumsum(pair) - 1
         context = np.bincount(of, weights=count).astype(np.int64)
         pa_, pb = a[pair], b[pair]
-        kept = (count >= MIN_COUNT) & (b <= m.bases[-1])  # nothing follows the end of a text
+        kept = (count >= m.least) & (b <= m.bases[-1])  # nothing follows the end of a text
         mass3 = np.bincount(of[kept], weights=count[kept] - DISCOUNT, minlength=len(context))
-        keep2 = context >= MIN_COUNT
+        keep2 = context >= m.least
         node = np.cumsum(keep2) - 1
         of3, c3, q3 = node[of[kept]], c[kept], (count[kept] - DISCOUNT) / context[of[kept]]
         a2, b2, n2 = pa_[keep2], pb[keep2], context[keep2]
@@ -252,7 +254,7 @@ def _write_backoff(m: Model):
     return run
 
 
-def fit(documents: DataFrame) -> tuple[Model, float]:
+def fit(documents: DataFrame, least: int = MIN_COUNT) -> tuple[Model, float]:
     """(the model, the unknown word's back-off weight); its files lie in the shared folder."""
     spark = documents.sparkSession
     common.small_batches(spark)
@@ -261,12 +263,12 @@ def fit(documents: DataFrame) -> tuple[Model, float]:
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     words = docs.mapInArrow(_word_counts, "word bigint, count bigint").groupBy("word").agg(F.sum("count").alias("count"))
     words = common.written(words, "words")
-    tokens, known, size = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("count") >= MIN_COUNT, F.col("count"))), F.lit(0)), F.count(F.when(F.col("count") >= MIN_COUNT, 1))).first()
+    tokens, known, size = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("count") >= least, F.col("count"))), F.lit(0)), F.count(F.when(F.col("count") >= least, 1))).first()
     bits = max(0, int(np.ceil(np.log2(max(1, size / FILE_WORDS)))))
     part = F.shiftright("word", 63 - bits).cast("int") if bits else F.lit(0)
-    done = dict(tuple(r) for r in words.where(F.col("count") >= MIN_COUNT).withColumn("part", part).groupBy("part").applyInArrow(_write_words(folder, max(1, tokens)), "part int, words bigint").collect())
+    done = dict(tuple(r) for r in words.where(F.col("count") >= least).withColumn("part", part).groupBy("part").applyInArrow(_write_words(folder, max(1, tokens)), "part int, words bigint").collect())
     bases = np.concatenate([[0], np.cumsum([done.get(p, 0) for p in range(1 << bits)])]).astype(np.int64)
-    m = Model(folder, tokens, tokens - known, bases, max(1, -(-tokens // SPLIT_TOKENS)))
+    m = Model(folder, tokens, tokens - known, bases, max(1, -(-tokens // SPLIT_TOKENS)), least)
     shipped = docs.mapInArrow(_trigrams(m), "split bigint, n bigint, blob binary").repartition(m.splits, "split")
     mass = common.written(shipped.groupBy("split").applyInArrow(_write_split(m), "word bigint, mass double"), "mass").groupBy("word").agg(F.sum("mass").alias("mass"))
     mass = common.written(mass, "masses")
@@ -351,9 +353,9 @@ def log_probabilities(m: Model, unknown: float, h: np.ndarray, doc: np.ndarray)
     return np.log2(np.maximum(p, 1e-12))
 
 
-def scored(docs: DataFrame, documents: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, documents: DataFrame, least: int = MIN_COUNT) -> DataFrame:
     """A row per document: doc_id, n_tokens and bits_per_token under the model of ``documents``."""
-    m, unknown = fit(documents)
+    m, unknown = fit(documents, least)
     common.small_batches(docs.sparkSession)
 
     def run(batches):

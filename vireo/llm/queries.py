@@ -29,7 +29,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return ngramlm.scored(docs, docs)
+    return ngramlm.scored(docs, docs, least=1)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
