@@ -97,24 +97,24 @@ def pass_rows(
     return docs.mapInArrow(run, schema or docs.schema)
 
 
-def labelled(
-    documents: DataFrame, labels: DataFrame, target: str, bound: int, seed: int = 7
-) -> tuple[DataFrame, DataFrame]:
-    """(ids with their label, the text of those documents): a sample of at most ``bound`` labelled documents.
+def labelled(documents: DataFrame, labels: DataFrame, target: str, bound: int, seed: int = 7) -> DataFrame:
+    """(doc_id, text, y): a sample of at most ``bound`` labelled documents with their texts and labels.
 
-    Which documents are drawn depends on a hash of doc_id alone, so a rerun draws the same. Null ids and labels are
-    ignored; of a document with several labels the larger counts. The ids are few (``bound``), hence the broadcast.
+    Drawn are the doc_ids of the smallest hashes, so a rerun draws the same. Null ids and labels are ignored; of a doc_id
+    with several labels the largest counts, of one with several texts the one of the smallest hash (one that is not null,
+    if there is any). So there are never more than ``bound`` rows, however often an id repeats; the ids are few, hence the
+    broadcast. Only ids whose hash is below a limit are shuffled; the limit is raised until enough are below it.
     """
-    ids = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull())
-        .groupBy("doc_id")
-        .agg(F.max(F.col(target)).alias("y"))
-        .withColumn("_o", F.xxhash64(F.lit(seed), F.col("doc_id")))
-        .orderBy("_o", "doc_id")
-        .limit(bound)
-        .select("doc_id", "y")
-    )
-    rows = ids.collect()
-    ids = documents.sparkSession.createDataFrame([(r[0], r[1]) for r in rows], ids.schema)
-    texts = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    return ids, texts
+    some = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull())
+    some = some.select("doc_id", F.col(target).alias("y"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 1).alias("_o"))
+    limit, share = (1 << 63) - 1, 2 * bound / max(1, some.count())
+    while True:
+        top = limit if share >= 1 else int(share * limit)
+        ids = some.where(F.col("_o") <= top).groupBy("doc_id").agg(F.max("y").alias("y"), F.min("_o").alias("_o")).orderBy("_o", "doc_id").limit(bound)
+        rows = ids.collect()
+        if len(rows) >= bound or share >= 1:
+            break
+        share *= 4
+    chosen = documents.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in rows], ids.select("doc_id", "y").schema)
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min_by("text", F.struct(F.col("text").isNull(), F.xxhash64("text"))).alias("text"), F.first("y").alias("y"))

@@ -136,7 +136,7 @@ def fit(documents: DataFrame, bound: int = BOUND) -> Model | None:
     df, total = document_frequency(documents)
     idf = np.log((1 + total) / (1 + df)) + 1
     known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    _, texts = common.labelled(documents, known.select("doc_id", "lang"), "lang", bound)
+    texts = common.labelled(documents, known.select("doc_id", "lang"), "lang", bound)
 
     def run(batches):
         for b in batches:

@@ -166,7 +166,7 @@ def predict(model: Trees | None, x: np.ndarray) -> np.ndarray:
 def fit(documents: DataFrame, labels: DataFrame, bound: int = BOUND) -> Trees | None:
     """The trees, from at most ``bound`` labelled documents."""
     common.small_batches(documents.sparkSession)
-    _, texts = common.labelled(documents, labels, "quality", bound)
+    texts = common.labelled(documents, labels, "quality", bound)
 
     def run(batches):
         for b in batches:
