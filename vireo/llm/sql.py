@@ -80,7 +80,7 @@ FROM below
 _TOP_K = f"""
 WITH pair AS (
   SELECT q.vec_id, x.vec_id AS neighbour, sqrt(list_sum(list_transform(list_zip(q.embedding, x.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))) AS d
-  FROM embeddings q JOIN embeddings x ON q.vec_id <> x.vec_id
+  FROM embeddings q JOIN embeddings x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0
 )
 SELECT vec_id, rank::INTEGER AS rank, neighbour, round(d, 6) AS distance
 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) AS rank FROM pair) WHERE rank <= {vafile.K}
