@@ -10,9 +10,12 @@ with zeros in denominators taken as 1. A node's sum is that of its children's de
 nodes that reach the threshold, the largest-sum node of each such subtree is marked where its sum is positive, and the
 text of the marked subtrees is the result.
 
-Defined results: a null page gives null; a page without text gives the empty text; without a body the whole page is the
-body; unclosed tags, comments and scripts end where HTML would end them, at the latest at the end of the page. Pages of
-any length and depth are parsed whole; no step recurses.
+Defined results: a null page gives null; a page without text gives the empty text; without a body the whole page but for
+its head is the body; a head also ends, as in HTML, at the first text or element that can't be in it; a tag ends at the first
+> outside its quoted values (of a quote that nothing closes, at the next >); unclosed tags, comments and scripts end where
+HTML would end them, at the latest at the end of the page; an end tag that closes nothing is a line break at most. Of nodes
+with equal sums the first counts; repeated rows give the same text each. Pages of any length and depth are parsed whole, in
+time linear in their length; no step recurses. Columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +38,15 @@ _BLOCK = frozenset(
 #: A start tag of the first kind ends an open element of the second.
 _CLOSES = {
     **dict.fromkeys("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split(), ("p",)),
-    "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",),
+    "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 #: Elements that such an ending does not reach through.
 _WALLS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
-_TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)[^>]*>)")
+_TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_VALUE = re.compile(r">|=\s*([\"'])")
+#: What may be in a head.
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+_P_WALLS = ("td", "th", "li", "div", "section", "article", "body", "button", "table")
 _END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
 _BLANK = re.compile(r"[ \t\r\f\v ]+")
 
@@ -48,21 +55,50 @@ def parse(page: str) -> tuple[list[str], list[int], list[tuple[int, str]]]:
     """(names, parents, texts): nodes in document order, node 0 a root; texts as (owner, text) in document order, with
     the owner's position and, for a line break, a text of one line feed."""
     names, parents, texts, stack = ["#root"], [-1], [], [0]
+    depths: dict[str, list[int]] = {}  # of the open elements of each name, and of all open blocks
+    blocks: list[int] = []
+    unclosed: set[str] = set()  # quotes that do not come again
     last, at, length = page.rfind(">") + 1, 0, len(page)
 
+    def deepest(of) -> int:
+        return max((depths[x][-1] for x in of if depths.get(x)), default=0)
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            name = names[stack.pop()]
+            depths[name].pop()
+            if name in _BLOCK:
+                blocks.pop()
+
     def text(raw: str) -> None:
         if raw:
+            if names[stack[-1]] == "head" and raw.strip():
+                cut(len(stack) - 1)
             texts.append((stack[-1], entities.unescape(raw) if "&" in raw else raw))
 
     def brk(name: str) -> None:
         if name in _BLOCK:
             texts.append((stack[-1], "\n"))
 
+    def tag_end(i: int) -> int:
+        while m := _VALUE.search(page, i):
+            quote = m.group(1)
+            i = m.end()
+            if not quote:
+                return i
+            if quote not in unclosed:
+                end = page.find(quote, i)
+                if end < 0:
+                    unclosed.add(quote)
+                else:
+                    i = end + 1
+        return length
+
     while at < length:
         m = _TAG.search(page, at, last) if at < last else None
         if not m:
-            cut = page.find("<!--", at)
-            text(page[at:] if cut < 0 else page[at:cut])
+            comment = page.find("<!--", at)
+            text(page[at:] if comment < 0 else page[at:comment])
             break
         text(page[at : m.start()])
         at = m.end()
@@ -70,41 +106,40 @@ def parse(page: str) -> tuple[list[str], list[int], list[tuple[int, str]]]:
         if comment:
             end = page.find("-->", at)
             at = end + 3 if end >= 0 else length
-        elif other:
+            continue
+        if other:
             end = page.find(">", at)
             at = end + 1 if end >= 0 else length
-        elif slash:
-            name = name.lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if names[stack[k]] == name:
-                    brk(name)
-                    del stack[k:]
-                    break
-                if name not in _BLOCK and names[stack[k]] in _BLOCK:
-                    break  # an inline end tag does not close a block
-            else:
+            continue
+        at = tag_end(at)
+        name = name.lower()
+        if slash:
+            k = deepest((name,))
+            if not k:
+                brk(name)
+            elif name in _BLOCK or not blocks or blocks[-1] < k:  # an inline end tag does not close a block
                 brk(name)
-        else:
-            name = name.lower()
-            if name in _RAW:
-                if not page[m.start() : at].endswith("/>"):
-                    end = _END[name].search(page, at)
-                    at = end.end() if end else length
-                continue
-            closes, walls = _CLOSES.get(name, ()), _WALLS.get(name, ())
-            if closes:
-                for k in range(len(stack) - 1, 0, -1):
-                    inner = names[stack[k]]
-                    if inner in walls or closes == ("p",) and inner in ("td", "th", "li", "div", "section", "article", "body", "button", "table"):
-                        break
-                    if inner in closes:
-                        del stack[k:]
-                        break
-            brk(name)
-            names.append(name)
-            parents.append(stack[-1])
-            if name not in _VOID:
-                stack.append(len(names) - 1)
+                cut(k)
+            continue
+        if name not in _HEAD and depths.get("head"):
+            cut(depths["head"][-1])
+        if name in _RAW:
+            if not page[m.start() : at].endswith("/>"):
+                end = _END[name].search(page, at)
+                at = end.end() if end else length
+            continue
+        if closes := _CLOSES.get(name):
+            k = deepest(closes)
+            if k > deepest(_P_WALLS if closes == ("p",) else _WALLS.get(name, ())):
+                cut(k)
+        brk(name)
+        names.append(name)
+        parents.append(stack[-1])
+        if name not in _VOID:
+            depths.setdefault(name, []).append(len(stack))
+            if name in _BLOCK:
+                blocks.append(len(stack))
+            stack.append(len(names) - 1)
     return names, parents, texts
 
 
