@@ -2,51 +2,24 @@
 
 import os
 
-import numpy as np
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tests.llm import test_decontam, test_quality, test_simhash
+from tests.llm import test_decontam, test_quality, test_simhash, test_toxicity
 from vireo.llm import packing, quality, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
 
-def brute(rows, tox, trees, items):
-    """What is left of (doc_id, text) before packing."""
-    dense = np.zeros((len(tox.ids), len(tox.vocab)))
-    for t in range(len(tox.vocab)):
-        for b in range(tox.ptr.shape[1] - 1):
-            at = slice(tox.ptr[t, b], tox.ptr[t, b + 1])
-            dense[tox.example[at], t] = tox.weight[at]
-    kept = []
-    for i, text in rows:
-        _, term, count, size = toxicity._counts([text], tox.vocab)
-        p = tox.alone
-        if len(term):
-            q = np.zeros(len(tox.vocab))
-            q[term] = toxicity._weights(tox.idf, term, count)
-            cos = dense @ q
-            order = sorted((-round(c, 9), tox.ids[j], j) for j, c in enumerate(cos) if c > 0 and tox.ids[j] != i)[: tox.k]
-            if order:
-                w = np.array([1 / (0.05 + 1 + c) for c, _, _ in order])
-                share = (w * [tox.toxic[j] for *_, j in order]).sum() / w.sum()
-                p = toxicity._score(tox, share, toxicity.density(count, int(size[0])))
-        if p < toxicity.THRESHOLD:
-            kept.append((i, text))
+def brute(rows, labelled, tox, trees, items):
+    """What is left of (doc_id, text) before packing: votes counted word by word, trees walked node by node, all pairs of
+    fingerprints compared, benchmark items sought word by word."""
+    votes = test_toxicity._brute(labelled, [t for _, t in rows if t is not None], tox.k, [i for i, _ in rows], [t or "" for _, t in rows])
+    kept = [r for r, (_, v) in zip(rows, votes) if (tox.alone if v is None else toxicity._score(tox, v)) < toxicity.THRESHOLD]
     kept = [(i, t) for i, t in kept if test_quality.walk(trees, quality.statistics([t])[0]) >= quality.THRESHOLD]
     has, fp = simhash.simhash([t for _, t in kept])
-    seg = simhash._segments(fp)
-    d = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2)
-    one = (np.bitwise_count((seg[:, None] ^ seg[None]).astype(np.uint64)) <= 1).any(axis=2)
-    near = (d <= simhash.MAX_DISTANCE) & one & has[:, None] & has[None]
-    label = np.arange(len(kept))
-    while True:
-        new = np.array([label[near[k]].min() if has[k] else k for k in range(len(kept))])
-        if (new == label).all():
-            break
-        label = new
+    label, _ = test_simhash.brute(fp, has, simhash.MAX_DISTANCE)
     kept = [r for k, r in enumerate(kept) if label[k] == k]
     clean = [(i, *test_decontam.brute(t, items)) for i, t in kept]
     return [(i, t) for i, t, *_, action in clean if action != "drop"]
@@ -57,7 +30,8 @@ def test_equals_brute_force(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_dedup", "decontamination", "packing"]
     docs, labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
     rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
-    left = brute(rows, toxicity.fit(docs, labels), quality.fit(docs, labels), [r.text for r in bench.collect()])
+    labelled = [tuple(r) for r in docs.join(labels, "doc_id").where("text is not null").select("doc_id", "toxic", "text").collect()]
+    left = brute(rows, labelled, toxicity.fit(docs, labels), quality.fit(docs, labels), [r.text for r in bench.collect()])
     found = corpus_pipeline.run(spark, SF).collect()
     seqs = sorted((i, k, min(packing.MAX_LEN, n - k * packing.MAX_LEN)) for i, t in left for n in [len((t or "").split())] for k in range(max(1, -(-n // packing.MAX_LEN))))
     assert 0 < len(left) < len(rows)
@@ -85,4 +59,4 @@ def test_every_operator_is_registered():
     found = __spark_entry__.queries()
     assert {k.split("_")[0] for k in found if k.startswith("op")} == {f"op{n}" for n in range(1, 11)} and "pipeline" in found
     assert set(__spark_entry__.oracle_sql()) <= set(found)
-    assert test_simhash.brute and corpus_pipeline.ORACLE_SQL is None
+    assert corpus_pipeline.ORACLE_SQL is None

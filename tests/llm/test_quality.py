@@ -29,10 +29,51 @@ def test_flattened_trees_are_walked_right():
     model = quality.train(x, y, trees=30)
     p = quality.predict(model, x)
     assert np.allclose(p, [walk(model, r) for r in x]) and ((p > 0.5) == y).mean() > 0.93
-    assert np.allclose(quality.predict(quality.train(x, np.ones(600), trees=3), x), 1, atol=0.1)
+    for y, share in ((np.ones(600), 600.5 / 601), (np.zeros(600), 0.5 / 601)):  # one class
+        assert np.allclose(quality.predict(quality.train(x, y, trees=3), x), share)
     assert len(quality.predict(model, x[:0])) == 0
 
 
+def grow(x, y, trees, depth, rate, bins, ridge):
+    """Boosting by trying every split of every node on the rows themselves: scores after the last tree."""
+    n, m = x.shape
+    share = (y.sum() + 0.5) / (n + 1)
+    score = np.full(n, np.log(share / (1 - share)))
+    cuts = [sorted({sorted(x[:, f])[int(np.floor(q * (n - 1)))] for q in np.arange(1, bins) / bins}) for f in range(m)]
+
+    def leaf(rows, level, g, h):
+        best, at = 1e-6, None
+        for f in range(m) if level < depth else ():
+            for cut in cuts[f]:
+                left = [r for r in rows if x[r, f] <= cut]
+                right = [r for r in rows if x[r, f] > cut]
+                hl, hr = h[left].sum(), h[right].sum()
+                if hl >= 1 and hr >= 1:
+                    gl, gr = g[left].sum(), g[right].sum()
+                    gain = gl**2 / (hl + ridge) + gr**2 / (hr + ridge) - (gl + gr) ** 2 / (hl + hr + ridge)
+                    if gain > best + 1e-9:
+                        best, at = gain, (left, right)
+        if at is None:
+            score[rows] -= rate * g[rows].sum() / (h[rows].sum() + ridge)
+        else:
+            for part in at:
+                leaf(part, level + 1, g, h)
+
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-score))
+        leaf(list(range(n)), 0, p - y, p * (1 - p))
+    return 1 / (1 + np.exp(-score))
+
+
+def test_growth_equals_trying_every_split():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(150, 3))
+    x[:, 1] = np.round(x[:, 1])
+    y = (x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=150) > 0).astype(float)
+    model = quality.train(x, y, trees=6, depth=3, rate=0.3, bins=8, ridge=1.0)
+    assert np.allclose(quality.predict(model, x), grow(x, y, 6, 3, 0.3, 8, 1.0), atol=1e-9)
+
+
 def test_statistics():
     texts = [None, "", "One two two\nTHREE 4!", "x", "a " * 500_000]
     s = quality.statistics(texts)
@@ -43,6 +84,10 @@ def test_statistics():
     assert s[2, at("distinct")] == 0.8 and s[2, at("top_share")] == max(Counter(w).values()) / 5 and s[2, at("adjacent")] == 0.2
     assert s[2, at("newline")] == pytest.approx(1 / len(texts[2])) and s[2, at("upper")] == pytest.approx(6 / len(texts[2]))
     assert s[4, at("tokens")] == pytest.approx(np.log1p(500_000))
+    three = "a b c a b c d"  # trigrams abc bca cab abc bcd
+    s = quality.statistics([three])[0]
+    assert s[at("repeated_trigrams")] == pytest.approx(1 - 4 / 5) and s[at("distinct_pairs")] == pytest.approx(4 / 7) and s[at("short")] == 1 and s[at("long")] == 0
+    assert s[at("title_tokens")] == 0 and s[at("tokens_a_line")] == 7 and s[at("longest")] == 1 and s[at("deviation")] == 0 and s[at("lower")] == pytest.approx(7 / 13) and s[at("space")] == pytest.approx(6 / 13)
 
 
 def test_edges(spark):
@@ -58,6 +103,9 @@ def test_edges(spark):
     assert kept.columns == docs.columns and kept.where("doc_id = 1").count() == 1 and kept.where("doc_id = 4").count() == 0
     none = labels.limit(0)
     assert quality.kept(docs, docs, none).count() == 56 and {r.score for r in quality.scored(docs, docs, none).collect()} == {None}
+    good = labels.where("quality = 1")
+    n = docs.join(good, "doc_id").select("doc_id").distinct().count()
+    assert {round(r.score, 9) for r in quality.scored(docs, docs, good).collect()} == {round((n + 0.5) / (n + 1), 9)}
     assert quality.kept(docs.limit(0), docs, labels).count() == 0 and quality.scored(docs.limit(0), docs.limit(0), none).count() == 0
 
 

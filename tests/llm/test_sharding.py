@@ -44,3 +44,18 @@ def test_empty(spark):
     assert sharding.sharded(docs, shards=4).count() == 0
     none = spark.createDataFrame([(5, None), (None, "")], "doc_id bigint, text string")
     assert {r.shard_id for r in sharding.sharded(none, shards=4).collect()} == {0}
+
+
+def test_the_number_of_shards_follows_from_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SHARDS", 2)
+    monkeypatch.setattr(sharding, "SHARD_BYTES", 1000)
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(95)], "doc_id bigint, text string")
+    assert sorted(r["count"] for r in sharding.sharded(docs).groupBy("shard_id").count().collect()) == [9] * 5 + [10] * 5
+    assert {r.shard_id for r in sharding.sharded(docs.limit(3)).collect()} == {0, 1}
+
+
+def test_keys_that_are_no_integers_are_refused(spark):
+    docs = spark.createDataFrame([("a", "x", 1, 1.5)], "doc_id string, text string, shard_id int, x double")
+    for key in ("doc_id", "shard_id", "x"):
+        with pytest.raises(ValueError, match="integer column"):
+            sharding.sharded(docs, key=key)

@@ -5,9 +5,9 @@ is looked up in it, hits are verified on the tokens themselves, and the hit toke
 hits cover at least ``drop_share`` is removed whole.
 
 Defined results: a null or empty text has no tokens and stays as it is (null stays null); an item shorter than ``n``
-tokens but with at least ``least`` is one gram of its own length, shorter ones are ignored; null items are ignored;
-repeated items and rows change nothing; with no items every document stays. Texts of any length are scanned whole. Other
-columns pass through untouched.
+tokens is one gram of its own length (of less than ``least``, by default 1, it is ignored); null items and items without
+tokens are ignored; repeated items and rows change nothing; with no items every document stays. Texts of any length are
+scanned whole. Other columns pass through ``cleaned`` untouched; ``decontaminate`` returns columns of its own.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vireo.llm import common, textnum
 
-N, LEAST, DROP_SHARE = 8, 5, 0.5
+N, LEAST, DROP_SHARE = 8, 1, 0.5
 #: Grams that are broadcast; a larger set is written to the shared folder and memory-mapped.
 BROADCAST_GRAMS = 2_000_000
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -35,9 +35,12 @@ class Grams(NamedTuple):
     ends: np.ndarray  # where each gram's tokens end in ``blob``
     blob: np.ndarray  # the tokens of all grams, joined by spaces, as UTF-8 bytes
     seen: np.ndarray  # bitmap over the hashes' top bits
+    bits: int  # how many
 
 
-BITS = 22
+def bitmap_bits(count: int) -> int:
+    """Top bits of a hash by which a bitmap of ``count`` grams stays at most about a sixteenth full, up to 2 GB."""
+    return min(34, max(22, count.bit_length() + 4))
 
 
 def _window(h: np.ndarray, n: int) -> np.ndarray:
@@ -69,13 +72,18 @@ def _gram_rows(n: int, least: int):
     return run
 
 
-def _pack(length: int, rows: list) -> Grams:
+def _pack(length: int, rows: list, bits: int) -> Grams:
     rows = sorted(((h % (1 << 64), g.encode("utf-8", "surrogatepass")) for h, g in rows))
     hashes = np.array([h for h, _ in rows], dtype=np.uint64)
-    seen = np.zeros(1 << BITS, dtype=bool)
-    seen[hashes >> np.uint64(64 - BITS)] = True
+    seen = np.zeros(1 << bits - 3, dtype=np.uint8)
+    _mark(seen, hashes, bits)
     blob = np.frombuffer(b"".join(g for _, g in rows), dtype=np.uint8)
-    return Grams(length, hashes, np.cumsum([len(g) for _, g in rows], dtype=np.int64), blob, np.packbits(seen))
+    return Grams(length, hashes, np.cumsum([len(g) for _, g in rows], dtype=np.int64), blob, seen, bits)
+
+
+def _mark(seen: np.ndarray, hashes: np.ndarray, bits: int) -> None:
+    top = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    np.bitwise_or.at(seen, top >> 3, np.uint8(128) >> (top & 7).astype(np.uint8))
 
 
 def gram_index(benchmark: DataFrame, n: int = N, least: int = LEAST, limit: int = BROADCAST_GRAMS):
@@ -93,7 +101,7 @@ def gram_index(benchmark: DataFrame, n: int = N, least: int = LEAST, limit: int
     sizes = sorted(r[0] for r in rows.select("size").distinct().collect())
     if count <= limit:
         found = rows.collect()
-        held = spark.sparkContext.broadcast([_pack(s, [(r[1], r[2]) for r in found if r[0] == s]) for s in sizes])
+        held = spark.sparkContext.broadcast([_pack(s, [(r[1], r[2]) for r in found if r[0] == s], bitmap_bits(count)) for s in sizes])
         return lambda: held.value
     folder = common.local_path(common.shared_path(spark, "gramset"))
     os.makedirs(folder)
@@ -101,24 +109,25 @@ def gram_index(benchmark: DataFrame, n: int = N, least: int = LEAST, limit: int
     width = -(-(1 << 63) // slices)
     top = F.shiftrightunsigned("hash", 1)
     for s in sizes:
-        seen, offset = np.zeros(1 << BITS, dtype=bool), 0
+        bits, offset = bitmap_bits(count), 0
+        seen = np.memmap(f"{folder}/{s}.seen", dtype=np.uint8, mode="w+", shape=(1 << bits - 3,))
         with open(f"{folder}/{s}.hashes", "wb") as a, open(f"{folder}/{s}.ends", "wb") as b, open(f"{folder}/{s}.blob", "wb") as c:
             for k in range(slices):
                 part = rows.where((F.col("size") == s) & (top >= k * width) & (top <= min((k + 1) * width, 1 << 63) - 1))
-                g = _pack(s, [(r[1], r[2]) for r in part.collect()])
+                g = _pack(s, [(r[1], r[2]) for r in part.collect()], 22)
                 a.write(g.hashes.tobytes())
                 b.write((g.ends + offset).tobytes())
                 c.write(g.blob.tobytes())
                 offset += len(g.blob)
-                seen |= np.unpackbits(g.seen).astype(bool)
-        np.packbits(seen).tofile(f"{folder}/{s}.seen")
-    return functools.partial(_mapped, folder, tuple(sizes))
+                _mark(seen, g.hashes, bits)
+        seen.flush()
+    return functools.partial(_mapped, folder, tuple(sizes), bitmap_bits(count))
 
 
 @functools.cache
-def _mapped(folder: str, sizes: tuple[int, ...]) -> list[Grams]:
+def _mapped(folder: str, sizes: tuple[int, ...], bits: int) -> list[Grams]:
     kinds = (("hashes", np.uint64), ("ends", np.int64), ("blob", np.uint8), ("seen", np.uint8))
-    return [Grams(s, *(np.memmap(f"{folder}/{s}.{k}", dtype=d, mode="r") for k, d in kinds)) for s in sizes]
+    return [Grams(s, *(np.memmap(f"{folder}/{s}.{k}", dtype=d, mode="r") for k, d in kinds), bits) for s in sizes]
 
 
 def _hit_tokens(t: textnum.Tokens, grams: list[Grams]) -> np.ndarray:
@@ -127,7 +136,7 @@ def _hit_tokens(t: textnum.Tokens, grams: list[Grams]) -> np.ndarray:
     for g in grams:
         m = g.length
         h = _window(t.hash, m)
-        top = (h >> np.uint64(64 - BITS)).astype(np.int64)
+        top = (h >> np.uint64(64 - g.bits)).astype(np.int64)
         at = np.flatnonzero((g.seen[top >> 3] >> (7 - (top & 7)).astype(np.uint8)) & 1)
         at = at[t.doc[at] == t.doc[at + m - 1]]
         if not len(at):

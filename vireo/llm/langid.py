@@ -6,7 +6,9 @@ documents whose ``lang`` is known; L1 leaves most weights at zero. A fifth of th
 temperature, by golden-section search on the log loss.
 
 Defined results: null and empty texts have no n-grams, and get the classes' bias alone; with one class everything is that
-class with probability 1, with none both results are null; of equal probabilities the alphabetically first class wins.
+class with probability 1, with none both results are null; of equal probabilities the alphabetically first class wins; very
+long texts are read whole; repeated rows get the same result each, and of a doc_id with several texts or languages one is
+trained on. Rows with a null doc_id are identified, but not trained on. Columns of other names are ignored.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@ first token has no context and its second one word. q, b and p1 are kept as eigh
 What is gathered: each task ships its distinct trigrams with counts as compressed blocks, one per split; counts are
 exact. Nothing but a few numbers per split goes to the driver.
 
-Defined results: a null or empty text has 0 tokens and a null score; repeated rows count each time; an empty corpus gives
-every document without tokens null. Two words whose hashes agree are one word (about V**2 / 2**64 pairs).
+Defined results: a null or empty text has 0 tokens and a null score; repeated rows count each time; very long texts are
+scored whole; an empty corpus gives every document without tokens null; columns of other names are ignored. Two words whose hashes agree are one word (about V**2 / 2**64 pairs).
 """
 
 from __future__ import annotations

@@ -4,9 +4,12 @@ Statistics of a document come from whole texts in numpy. Training takes at most
 feature by its quantiles, and grows trees of fixed depth from gradient histograms. The trees are flattened into arrays:
 scoring walks all documents of a batch down one level of a tree per step.
 
-Defined results: null and empty texts have the same statistics and are scored like any other; with no labels, or labels
-of one class only, the score is that class's share (null without labels, and then every document is kept); a value equal
-to a threshold goes left, so ties do not depend on order.
+Defined results: labels above 0 are good, others bad, null ones ignored; null and empty texts have the same statistics and
+are scored like any other; with labels of one class only no tree is grown and every score is that class's smoothed share
+((rows + 0.5) / (rows + 1) or 1 less that), without labels scores are null and every document is kept; a value equal to a
+threshold goes left, and of equally good splits the first feature and smallest threshold count, so ties do not depend on
+order; very long texts are read whole; repeated rows get the same score each, and of a doc_id with several texts one is
+trained on. Columns of other names are ignored by ``scored`` and pass through ``kept``.
 """
 
 from __future__ import annotations
@@ -118,6 +121,8 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
     start = float(np.log(share / (1 - share)))
     inner, leaves = (1 << depth) - 1, 1 << depth
     out = Trees(np.zeros((trees, inner), dtype=np.int64), np.full((trees, inner), np.inf), np.zeros((trees, leaves)), start)
+    if y.min() == y.max():
+        return Trees(*(x[:0] for x in out[:3]), start)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for f in range(m)]
     code = np.stack([np.searchsorted(cuts[f], x[:, f], side="left") for f in range(m)], axis=1)
     score, rows = np.full(n, start), np.arange(n)

@@ -7,7 +7,9 @@ into its own partition, sorted by key.
 
 Splitter k is the smallest key that at least k/n of all bytes lie below; with a tolerance, any key near enough. Rows
 with equal keys share a shard, however many there are. Defined results: null keys sort first; a null text has 0 bytes;
-without bytes everything is in shard 0; an existing column ``shard_id`` is replaced, all others stay.
+without bytes everything is in shard 0; an existing column ``shard_id`` is replaced, all others stay; a key that is not an
+integer column, or is named ``shard_id``, is an error before anything runs; texts of any length count whole; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 
 from vireo.llm import common
 
-SHARDS, PROBES = 64, 15
+#: Shards at least; beyond this many bytes in each there are more.
+SHARDS, SHARD_BYTES, PROBES = 64, 1 << 28, 15
 #: The query asks for exact splitters: its result then depends on the rows alone.
 TOLERANCE = 0.0
 
@@ -86,11 +89,17 @@ def splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
     return np.maximum.accumulate(np.array([done[k] for k in range(1, shards)], dtype=object)).tolist() if done else []
 
 
-def sharded(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """All rows with their shard_id, shard k in partition k, sorted by key."""
+def sharded(docs: DataFrame, key: str = "doc_id", shards: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """All rows with their shard_id, shard k in partition k, sorted by key. The number of shards follows from the bytes of all
+    texts unless it is given."""
     spark = docs.sparkSession
+    kind = dict(docs.dtypes)[key]
+    if kind not in ("tinyint", "smallint", "int", "bigint") or key.lower() == "shard_id":
+        raise ValueError(f"the key of sharding must be an integer column of another name than shard_id, not {key} {kind}")
     keys = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"))
     keys = common.written(keys, "keys")
+    if shards is None:
+        shards = max(SHARDS, -(-(keys.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
     cut = spark.sparkContext.broadcast(np.array([min(x, (1 << 63) - 1) for x in splitters(keys, shards, tolerance)], dtype=np.int64))
 
     @F.pandas_udf("int")

@@ -71,10 +71,12 @@ _SHARDING = f"""
 WITH below AS (
   SELECT *, coalesce(sum(strlen(coalesce(text, ''))) OVER (ORDER BY doc_id NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
     - sum(strlen(coalesce(text, ''))) OVER (PARTITION BY doc_id), 0)::HUGEINT AS b, sum(strlen(coalesce(text, ''))) OVER ()::HUGEINT AS total FROM documents
+), sized AS (
+  SELECT *, greatest({sharding.SHARDS}, (total + {sharding.SHARD_BYTES - 1}) // {sharding.SHARD_BYTES}) AS shards FROM below
 )
 SELECT doc_id, text, lang, source, n_chars,
-  CASE WHEN doc_id IS NULL OR total = 0 THEN 0 ELSE least({sharding.SHARDS} - 1, b * {sharding.SHARDS} // total) END::INTEGER AS shard_id
-FROM below
+  CASE WHEN doc_id IS NULL OR total = 0 THEN 0 ELSE least(shards - 1, b * shards // total) END::INTEGER AS shard_id
+FROM sized
 """
 
 _TOP_K = f"""
