@@ -93,6 +93,19 @@ def test_scores_equal_brute_force(spark, monkeypatch, split, words):
         assert bits is None or got[1] == pytest.approx(bits, abs=1e-5)
 
 
+def test_no_split_grows_with_the_flushes(spark, monkeypatch):
+    """A corpus of which two words make up most: its commonest pairs are spread over the splits, and shipped by many flushes."""
+    monkeypatch.setattr(ngramlm, "SPLIT_TOKENS", 500)
+    monkeypatch.setattr(ngramlm, "FLUSH", 300)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["of", "the", *(f"w{i}" for i in range(300))], weights=[300, 300, *[1] * 300], k=100)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    m, _ = ngramlm.fit(docs, 1)
+    assert len(m.hot) == 2 and len(m.made["after"]) > m.splits / 2 and len(m.made["pairs"]) > 0
+    rows = [len(ngramlm._load(f"{m.folder}/after-{k}")["q3"]) for k in m.made["after"]]
+    assert sum(rows) > 1000 and max(rows) < 3 * sum(rows) / m.splits + 10
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert ngramlm.scored(docs, docs).count() == 0
@@ -100,8 +113,11 @@ def test_empty_table(spark):
     assert [tuple(r) for r in ngramlm.scored(docs, docs).collect()] == [(1, 0, None)]
 
 
-def test_the_query_keeps_what_occurs_once(spark, tmp_path):
-    """Every n-gram counts, discounted alike; nothing is an unknown word."""
+@pytest.mark.parametrize("split", [4_000_000, 100])
+def test_the_query_keeps_what_occurs_once(spark, tmp_path, monkeypatch, split):
+    """Every n-gram counts, discounted alike; nothing is an unknown word. With small splits the commonest pairs are shared."""
+    monkeypatch.setattr(ngramlm, "SPLIT_TOKENS", split)
+    monkeypatch.setattr(ngramlm, "FLUSH", 500 if split == 100 else ngramlm.FLUSH)
     q = lambda p: 2.0 ** (-min(255, max(0, round(-8 * math.log2(max(p, 1e-12))))) / 8)
     rng = random.Random(5)
     texts = [" ".join(rng.choices([f"w{i}" for i in range(400)], weights=[1 / (i + 1) for i in range(400)], k=rng.randrange(1, 60))) for _ in range(80)]

@@ -16,7 +16,11 @@ first token has no context and its second one word. q, b and p1 are kept as eigh
   within the run. Levels are files in the shared folder, memory-mapped by every worker.
 
 What is gathered: each task ships its distinct trigrams with counts as compressed blocks, one per split; counts are
-exact. Nothing but a few numbers per split goes to the driver.
+exact. Nothing but a few numbers per split goes to the driver. A pair of words that both occur more than ``SPLIT_TOKENS``
+times may have more successors than a split should hold. The trigrams of such pairs are split by a hash of (a, b, c) instead:
+their counts are summed there, the sums of a pair over all splits are added up, and then their successors are written
+(``after-*``) and the pairs themselves, by their hash (``pairs-*``). So what one task merges does not grow with the corpus,
+but for a row per block of tokens of each trigram that occurs everywhere.
 
 Defined results: a null or empty text has 0 tokens and a null score; repeated rows count each time; very long texts are
 scored whole; an empty corpus gives every document without tokens null; columns of other names are ignored. Two words whose hashes agree are one word (about V**2 / 2**64 pairs).
@@ -39,7 +43,7 @@ from vireo.llm import common, eliasfano, textnum
 
 DISCOUNT, MIN_COUNT = 0.75, 2
 #: Tokens that a task holds at once, that a split of the trie covers, and words of a vocabulary file, about.
-FLUSH, SPLIT_TOKENS, FILE_WORDS = 1_500_000, 4_000_000, 500_000
+FLUSH, SPLIT_TOKENS, FILE_WORDS = 1_000_000, 4_000_000, 500_000
 
 
 class Model(NamedTuple):
@@ -49,6 +53,8 @@ class Model(NamedTuple):
     bases: np.ndarray  # id of the first word of each vocabulary file, and the number of words
     splits: int
     least: int  # how often an n-gram of the trie occurs at least
+    hot: np.ndarray  # ids of the words that occur more than SPLIT_TOKENS times, at most as many as there are splits
+    made: dict[str, frozenset]  # the numbers of the files of each kind: of these a missing one is an error
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -140,6 +146,16 @@ def split_of(m: Model, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (textnum.mix((a.astype(np.uint64) << np.uint64(32)) ^ b.astype(np.uint64)) % np.uint64(m.splits)).astype(np.int64)
 
 
+def split_of_three(m: Model, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    pair = textnum.mix((a.astype(np.uint64) << np.uint64(32)) ^ b.astype(np.uint64))
+    return (textnum.mix(pair ^ c.astype(np.uint64)) % np.uint64(m.splits)).astype(np.int64)
+
+
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One rising number of a pair of ids; ids are below 2**31."""
+    return (a.astype(np.int64) << 31) | b.astype(np.int64)
+
+
 def _ship(columns: list[np.ndarray]) -> bytes:
     """Columns of 32-bit values, bytes of like weight together, compressed; the first, which rises, as differences."""
     first = np.diff(columns[0], prepend=columns[0][:1])
@@ -150,8 +166,8 @@ def _ship(columns: list[np.ndarray]) -> bytes:
 
 def _unship(blob: bytes, n: int) -> list[np.ndarray]:
     x = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, 4, n).transpose(0, 2, 1)
-    x = np.ascontiguousarray(x).view("<u4")[:, :, 0].astype(np.int64)
-    return [np.cumsum(x[0]), x[1], x[2], x[3]]
+    x = np.ascontiguousarray(x).view("<u4")[:, :, 0]
+    return [np.cumsum(x[0], dtype=np.uint32), x[1], x[2], x[3]]
 
 
 def _ids(m: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,6 +185,7 @@ def _trigrams(m: Model):
                 continue
             ids, w = _ids(m, h)
             ids = np.append(ids, m.bases[-1] + 1)  # the end of a text
+            hot = np.isin(ids, m.hot)
             end = len(ids) - 1
             second, third = np.full(len(w), end), np.full(len(w), end)
             second[:-1] = np.where(doc[1:] == doc[:-1], w[1:], end)
@@ -181,8 +198,10 @@ def _trigrams(m: Model):
                 a, b, c = key >> (2 * bits), (key >> bits) & mask, key & mask
             else:
                 (a, b, c), count = np.unique(np.stack([w, second, third]), axis=1, return_counts=True)
+            both = np.flatnonzero(hot[a] & hot[b])
             a, b, c = ids[a], ids[b], ids[c]
             split = split_of(m, a, b)
+            split[both] = split_of_three(m, a[both], b[both], c[both])
             order = np.argsort(split, kind="stable")
             a, b, c, count, split = a[order], b[order], c[order], count[order], split[order]
             edge = np.append(textnum.runs(split), len(split))
@@ -202,45 +221,125 @@ def raised(run: np.ndarray, value: np.ndarray) -> np.ndarray:
     return value + np.repeat(base, np.diff(np.append(first, len(value))))
 
 
+def _merged(parts: list[list[np.ndarray]], top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (a, b, c), sorted, with their counts added up; ids are at most ``top``."""
+    a, b, c, count = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    parts.clear()
+    bits = top.bit_length()
+    if 3 * bits <= 63:  # the blocks are sorted, so one stable sort merges them
+        key = (a.astype(np.int64) << (2 * bits)) | (b.astype(np.int64) << bits) | c
+        order = np.argsort(key, kind="stable")
+        del key
+    else:
+        order = np.lexsort((c, b, a))
+    a, b, c = a[order], b[order], c[order]
+    count = count[order].astype(np.int64)
+    del order
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+    at = np.flatnonzero(new)
+    return a[at].astype(np.int64), b[at].astype(np.int64), c[at].astype(np.int64), np.add.reduceat(count, at)
+
+
+def _contexts(m: Model, a: np.ndarray, b: np.ndarray, count: np.ndarray):
+    """(where each pair begins, pair of each row, kept rows, the pairs' counts, the mass of their kept trigrams)"""
+    pair = np.ones(len(a), dtype=bool)
+    pair[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    of = np.cumsum(pair) - 1
+    context = np.bincount(of, weights=count).astype(np.int64)
+    kept = (count >= m.least) & (b <= m.bases[-1])  # nothing follows the end of a text
+    return pair, of, kept, context, np.bincount(of[kept], weights=count[kept] - DISCOUNT, minlength=len(context)).astype(np.float64)
+
+
+_SPLIT = "word bigint, second bigint, total bigint, mass double, split bigint"
+
+
 def _write_split(m: Model):
-    """One split of the trie; gives the mass that each first word's kept bigrams take."""
+    """One split of the trie. Gives the mass that each first word's kept bigrams take; of the pairs that other splits share,
+    what this split has of them; and a row with the split's number alone."""
 
-    def run(t: pa.Table) -> pa.Table:
-        split = t.column("split")[0].as_py()
-        parts = [_unship(blob, n) for n, blob in zip(t.column("n").to_pylist(), t.column("blob").to_pylist())]
-        a, b, c, count = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        order = np.lexsort((c, (a << 32) | b))
-        a, b, c, count = a[order], b[order], c[order], count[order]
-        new = np.ones(len(a), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-        at = np.flatnonzero(new)
-        a, b, c, count = a[at], b[at], c[at], np.add.reduceat(count, at)
-        pair = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        of = np.cumsum(pair) - 1
-        context = np.bincount(of, weights=count).astype(np.int64)
-        pa_, pb = a[pair], b[pair]
-        kept = (count >= m.least) & (b <= m.bases[-1])  # nothing follows the end of a text
-        mass3 = np.bincount(of[kept], weights=count[kept] - DISCOUNT, minlength=len(context))
+    def run(batches):
+        parts, split = [], 0
+        for t in batches:
+            split = t.column("split")[0].as_py()
+            parts += [_unship(blob, n) for n, blob in zip(t.column("n").to_pylist(), t.column("blob").to_pylist())]
+        if not parts:
+            return
+        a, b, c, count = _merged(parts, int(m.bases[-1]) + 1)
+        if len(m.hot):
+            hot = np.isin(a, m.hot) & np.isin(b, m.hot)
+            if hot.any():
+                x = [v[hot] for v in (a, b, c, count)]
+                a, b, c, count = (v[~hot] for v in (a, b, c, count))
+                _write(f"{m.folder}/hot-{split}", dict(zip("abcn", x)))
+                pair, _, _, context, mass = _contexts(m, x[0], x[1], x[3])
+                yield pa.RecordBatch.from_arrays([pa.array(x[0][pair]), pa.array(x[1][pair]), pa.array(context), pa.array(mass), pa.array(np.full(len(context), split))], _NAMES)
+        pair, of, kept, context, mass3 = _contexts(m, a, b, count)
         keep2 = context >= m.least
         node = np.cumsum(keep2) - 1
-        of3, c3, q3 = node[of[kept]], c[kept], (count[kept] - DISCOUNT) / context[of[kept]]
-        a2, b2, n2 = pa_[keep2], pb[keep2], context[keep2]
-        count1 = by_word(m, a2, "words", "count", m.unknown)
+        of3, c3, q3 = node[of[kept]], c[kept], quantise((count[kept] - DISCOUNT) / context[of[kept]])
+        a2, b2, n2 = a[pair][keep2], b[pair][keep2], context[keep2]
+        del a, b, c, count, of, kept, pair
         firsts = textnum.runs(a2)
         _write(
             f"{m.folder}/split-{split}",
             {
-                "a": eliasfano.build(a2[firsts]), "to2": eliasfano.build(np.append(firsts, len(a2))), "b": eliasfano.build(raised(a2, b2)), "q2": quantise((n2 - DISCOUNT) / count1), "b3": quantise(1 - mass3[keep2] / n2),
-                "to3": eliasfano.build(np.searchsorted(of3, np.arange(len(a2) + 1))), "c": eliasfano.build(raised(of3, c3)), "q3": quantise(q3),
+                "a": eliasfano.build(a2[firsts]), "to2": eliasfano.build(np.append(firsts, len(a2))), "b": eliasfano.build(raised(a2, b2)),
+                "q2": quantise((n2 - DISCOUNT) / by_word(m, a2, "words", "count", m.unknown)), "b3": quantise(1 - mass3[keep2] / n2),
+                "to3": eliasfano.build(np.searchsorted(of3, np.arange(len(a2) + 1))), "c": eliasfano.build(raised(of3, c3)), "q3": q3,
             },
         )
         mass = np.add.reduceat(n2 - DISCOUNT, firsts) if len(firsts) else np.zeros(0)
-        return pa.table({"word": a2[firsts], "mass": mass})
+        none = pa.nulls(len(firsts) + 1, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([*a2[firsts].tolist(), None], pa.int64()), none, none, pa.array(np.append(mass, 0.0)), pa.array([*[None] * len(firsts), split], pa.int64())], _NAMES)
+
+    return run
+
+
+_NAMES = ["word", "second", "total", "mass", "split"]
+
+
+def _write_pairs(m: Model):
+    """The shared pairs (word, second, total, mass of kept trigrams) of one split by hash."""
+
+    def run(t: pa.Table) -> pa.Table:
+        home = t.column("home")[0].as_py()
+        a, b, n, mass = (t.column(c).to_numpy() for c in ("word", "second", "total", "mass"))
+        key = pair_key(a, b)
+        order = np.argsort(key)
+        count = by_word(m, a[order], "words", "count", m.unknown)
+        _write(f"{m.folder}/pairs-{home}", {"key": eliasfano.build(key[order]), "q2": quantise((n[order] - DISCOUNT) / count), "b3": quantise(1 - mass[order] / n[order])})
+        return pa.table({"split": pa.array([home], pa.int64())})
+
+    return run
+
+
+def _write_after(m: Model):
+    """The successors of shared pairs that one split has, with the pairs' totals over all splits."""
+
+    def run(t: pa.Table) -> pa.Table:
+        split = t.column("split")[0].as_py()
+        key = pair_key(t.column("word").to_numpy(), t.column("second").to_numpy())
+        order = np.argsort(key)
+        key, total = key[order], t.column("total").to_numpy()[order]
+        f = _load(f"{m.folder}/hot-{split}")
+        of = np.searchsorted(key, pair_key(f["a"], f["b"]))
+        kept = f["n"] >= m.least
+        of, c, n = of[kept], f["c"][kept], f["n"][kept]
+        _write(f"{m.folder}/after-{split}", {"key": eliasfano.build(key), "to3": eliasfano.build(np.searchsorted(of, np.arange(len(key) + 1))), "c": eliasfano.build(raised(of, c)), "q3": quantise((n - DISCOUNT) / total[of])})
+        return pa.table({"split": pa.array([split], pa.int64())})
 
     return run
 
 
+def _home(m: Model):
+    @F.pandas_udf("bigint")
+    def home(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(split_of(m, a.to_numpy(), b.to_numpy()))
+
+    return home
+
+
 def _write_backoff(m: Model):
     def run(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
@@ -268,17 +367,32 @@ def fit(documents: DataFrame, least: int = MIN_COUNT) -> tuple[Model, float]:
     part = F.shiftright("word", 63 - bits).cast("int") if bits else F.lit(0)
     done = dict(tuple(r) for r in words.where(F.col("count") >= least).withColumn("part", part).groupBy("part").applyInArrow(_write_words(folder, max(1, tokens)), "part int, words bigint").collect())
     bases = np.concatenate([[0], np.cumsum([done.get(p, 0) for p in range(1 << bits)])]).astype(np.int64)
-    m = Model(folder, tokens, tokens - known, bases, max(1, -(-tokens // SPLIT_TOKENS)), least)
-    shipped = docs.mapInArrow(_trigrams(m), "split bigint, n bigint, blob binary").repartition(m.splits, "split")
-    mass = common.written(shipped.groupBy("split").applyInArrow(_write_split(m), "word bigint, mass double"), "mass").groupBy("word").agg(F.sum("mass").alias("mass"))
-    mass = common.written(mass, "masses")
+    m = Model(folder, tokens, tokens - known, bases, max(1, -(-tokens // SPLIT_TOKENS)), least, np.zeros(0, dtype=np.int64), {})
+    hot = np.sort(np.array([r[0] for r in words.where(F.col("count") > SPLIT_TOKENS).select("word").collect()], dtype=np.int64)).astype(np.uint64)
+    m = m._replace(hot=word_ids(m, hot) if len(hot) else m.hot)  # at most one for SPLIT_TOKENS tokens
+    if m.unknown > SPLIT_TOKENS:
+        m = m._replace(hot=np.append(m.hot, bases[-1]))
+    shipped = docs.mapInArrow(_trigrams(m), "split bigint, n bigint, blob binary").repartitionById(m.splits, F.col("split").cast("int"))
+    found = common.written(shipped.mapInArrow(_write_split(m), _SPLIT), "mass")
+    made = {"split": frozenset(r[0] for r in found.where("word is null").select("split").collect())}
+    mass = found.where("word is not null and second is null").select("word", "mass")
+    if len(m.hot):
+        shared = found.where("second is not null")
+        totals = common.written(shared.groupBy("word", "second").agg(F.sum("total").alias("total"), F.sum("mass").alias("mass")).where(F.col("total") >= least), "totals")
+        made["pairs"] = frozenset(r[0] for r in totals.withColumn("home", _home(m)("word", "second")).groupBy("home").applyInArrow(_write_pairs(m), "split bigint").collect())
+        parts = shared.select("split", "word", "second").join(totals.select("word", "second", "total"), ["word", "second"])
+        made["after"] = frozenset(r[0] for r in parts.groupBy("split").applyInArrow(_write_after(m), "split bigint").collect())
+        mass = mass.unionByName(totals.select("word", (F.col("total") - DISCOUNT).alias("mass")))
+    mass = common.written(mass.groupBy("word").agg(F.sum("mass").alias("mass")), "masses")
     unknown = mass.where(F.col("word") == int(bases[-1])).first()
 
     @F.pandas_udf("int")
     def part_of(word: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bases, word, side="right") - 1, dtype="int32")
 
-    mass.where(F.col("word") < int(bases[-1])).withColumn("part", part_of("word")).groupBy("part").applyInArrow(_write_backoff(m), "part int").collect()
+    parts = mass.where(F.col("word") < int(bases[-1])).withColumn("part", part_of("word")).groupBy("part").applyInArrow(_write_backoff(m), "part int").collect()
+    made["backoff"] = frozenset(r[0] for r in parts)
+    m = m._replace(made=made)
     return m, 1 - (unknown["mass"] / m.unknown if unknown and m.unknown else 0.0)
 
 
@@ -290,8 +404,8 @@ def _backoff(m: Model, words: np.ndarray, unknown: float) -> np.ndarray:
     out[order[edge[-1] :]] = quantise(np.array([unknown]))[0]
     for p in range(len(m.bases) - 1):
         a, z = edge[p], edge[p + 1]
-        if a < z and os.path.exists(path := f"{m.folder}/backoff-{p}"):
-            out[order[a:z]] = _load(path)["b2"][s[a:z] - m.bases[p]]
+        if a < z and p in m.made["backoff"]:
+            out[order[a:z]] = _load(f"{m.folder}/backoff-{p}")["b2"][s[a:z] - m.bases[p]]
     return _VALUE[out]
 
 
@@ -304,19 +418,24 @@ def _successors(level: eliasfano.Sequence, to: eliasfano.Sequence, node: np.ndar
     return eliasfano.find(level, base + id_, lo, hi)
 
 
+def _by_split(m: Model, kind: str, split: np.ndarray):
+    """(rows, file) of each split that has a file, the rows of each in order."""
+    order = np.argsort(split, kind="stable")
+    edge = np.append(textnum.runs(split[order]), len(split))
+    for i, j in zip(edge[:-1], edge[1:]):
+        k = int(split[order[i]])
+        if k in m.made.get(kind, ()):
+            yield order[i:j], _load(f"{m.folder}/{kind}-{k}")
+
+
 def pair_values(m: Model, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each (a, b) and the c after it (-1: none): q2(a b), b3(a b) or 1, q3(a b c)."""
     n = len(a)
     q2, b3, q3 = np.zeros(n), np.ones(n), np.zeros(n)
-    split = split_of(m, a, b)
-    order = np.argsort(split, kind="stable")
-    edge = np.append(textnum.runs(split[order]), n)
-    for i, j in zip(edge[:-1], edge[1:]):
-        rows = order[i:j]
-        path = f"{m.folder}/split-{split[rows[0]]}"
-        if not os.path.exists(path):
-            continue
-        f = _load(path)
+    hot = np.isin(a, m.hot) & np.isin(b, m.hot) if len(m.hot) else np.zeros(n, dtype=bool)
+    cold = np.flatnonzero(~hot)
+    for at, f in _by_split(m, "split", split_of(m, a[cold], b[cold])):
+        rows = cold[at]
         node = eliasfano.find(f["a"], a[rows], zeros=f["a.zeros"])
         rows, node = rows[node >= 0], node[node >= 0]
         pos = _successors(f["b"], f["to2"], node, b[rows])
@@ -325,6 +444,19 @@ def pair_values(m: Model, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[
         some = np.flatnonzero(c[rows] >= 0)
         at = _successors(f["c"], f["to3"], pos[some], c[rows[some]])
         q3[rows[some[at >= 0]]] = _VALUE[f["q3"][at[at >= 0]]]
+    hot = np.flatnonzero(hot)
+    for at, f in _by_split(m, "pairs", split_of(m, a[hot], b[hot])):
+        rows = hot[at]
+        pos = eliasfano.find(f["key"], pair_key(a[rows], b[rows]))
+        rows, pos = rows[pos >= 0], pos[pos >= 0]
+        q2[rows], b3[rows] = _VALUE[f["q2"][pos]], _VALUE[f["b3"][pos]]
+    hot = hot[c[hot] >= 0]
+    for at, f in _by_split(m, "after", split_of_three(m, a[hot], b[hot], c[hot])):
+        rows = hot[at]
+        node = eliasfano.find(f["key"], pair_key(a[rows], b[rows]))
+        rows, node = rows[node >= 0], node[node >= 0]
+        at = _successors(f["c"], f["to3"], node, c[rows])
+        q3[rows[at >= 0]] = _VALUE[f["q3"][at[at >= 0]]]
     return q2, b3, q3
 
 
