@@ -6,6 +6,7 @@ import tarfile
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vireo.operators import logs, names, sequences
 from vireo.plans import samples
@@ -99,6 +100,8 @@ def test_logs(spark):
     assert (b["users"], b["uses"], b["slowest"], b["average"], b["errors"]) == (2, 3, 0.5, 0.75 / 4, 2)
     merged = logs.merge_summaries(logs.partial_summary(logs.parse_lines(lines)).unionByName(logs.partial_summary(logs.parse_lines(lines).limit(0))))
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, logs.daily_summary(logs.parse_lines(lines)).collect()))
+    both = logs.partial_summary(logs.parse_lines(lines)).unionByName(logs.partial_summary(logs.parse_lines(lines)))  # the same users twice
+    assert {(str(r["day"]), r["users"], r["uses"]) for r in logs.merge_summaries(both).collect()} == {("2020-01-01", 1, 2), ("2020-01-02", 2, 6)}
     assert logs.replay_queries(lines).count() == 6
 
 
@@ -131,6 +134,27 @@ def test_merged_intervals_hold_the_same_points(spark, pairs):
     assert all(z < a for (_, z), (a, _) in zip(merged, merged[1:]))
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 40)), max_size=12), st.lists(st.one_of(st.none(), st.integers(-5, 350)), min_size=1, max_size=40))
+def test_points_in_ranges(spark, pairs, points):
+    ranges = spark.createDataFrame([(a, a + n) for a, n in pairs], "lo int, hi int")
+    df = spark.createDataFrame([(p, i) for i, p in enumerate(points)], "p int, i int")
+    found = sorted(r["i"] for r in sequences.point_in_ranges(df, "p", ranges, "lo", "hi").collect())
+    assert found == [i for i, p in enumerate(points) if p is not None and any(a <= p <= a + n for a, n in pairs)]
+
+
+def test_numbers_and_offsets_without_keys(spark):
+    df = spark.createDataFrame([((i * 37) % 101, i, i % 7) for i in range(150)], "a int, b int, size int").repartition(6)
+    rows = sorted((r["a"], r["b"], r["size"]) for r in df.collect())
+    sums = [sum(x[2] for x in rows[:i]) for i in range(len(rows) + 1)]
+    number = {r["b"]: r["n"] for r in sequences.number_rows(df, ["a", "b"], 5).collect()}
+    before = {r["b"]: r["at"] for r in sequences.prefix_offsets(df, F.col("size"), ["a", "b"]).collect()}
+    upto = {r["b"]: r["end"] for r in sequences.inclusive_offsets(df, F.col("size"), ["a", "b"]).collect()}
+    for i, (_, b, _) in enumerate(rows):
+        assert (number[b], before[b], upto[b]) == (i + 5, sums[i], sums[i + 1])
+    assert sequences.number_rows(df.limit(0), ["a"]).count() == 0 and sequences.prefix_offsets(df.limit(0), F.col("size"), ["a"]).count() == 0
+
+
 def test_dense_ids(spark):
     df = spark.createDataFrame([((i * 37) % 101 if i % 10 else None, i) for i in range(200)], "a int, b int").repartition(7)
     rows = sorted(sequences.dense_ids(df, ["a", "b"]).collect(), key=lambda r: r["id"])

@@ -88,10 +88,39 @@ def test_dictionary(spark):
     rows = {r["name"]: r["id"] for r in ts.spread_names(freq).collect()}
     order = sorted(rows, key=lambda n: -rows[n])
     assert order == ["->", "d", "a", "b", "c"] and rows["->"] == ts.TOP and len(set(rows.values())) == 5 and min(rows.values()) >= ts.FIRST_CON
-    assert {tuple(r) for r in ts._spread_on_driver(freq).select("name", "id").collect()} == set(rows.items())
     assert ts.spread_names(freq.limit(0)).count() == 0
 
 
+def test_large_dictionary_equals_a_fold(spark):
+    rng = random.Random(6)
+    counts = {f"n{i:05}": int(3000 / (i + 1)) + rng.randrange(1, 3) for i in range(25_000)}
+    low, high, want = 99 + len(counts), ts.TOP, {}
+    for name in sorted(counts, key=lambda n: (-counts[n], n)):
+        real = max(low, min(high, low + int(float(min(1024, counts[name])) * float(high - low) / 1024.0)))
+        want[name] = real
+        low, high = low - 1, real - 1
+    freq = spark.createDataFrame(list(counts.items()), "name string, freq bigint").repartition(5)
+    assert {r["name"]: r["id"] for r in ts.spread_names(freq).collect()} == want and len(set(want.values())) == len(want)
+
+
+def test_fingerprints_equal_those_of_encoded_signatures(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(80):
+        words = [rng.choice(["x", "y", *(f"c{k}" for k in range(30))]) for _ in range(rng.choice([0, 1, 5, 400]))]
+        rows.append((i, [{"cls": "Eq", "var": "x"}] if i % 3 == 0 else [], [{"tag": "var" if len(w) == 1 else "con", "name": w, "nargs": 0} for w in words], len(words)))
+    sigs = spark.createDataFrame(rows, f"sig_ord bigint, ctx {ts.NAMED_CTX}, tree {ts.NAMED_NODE}, n_types int")
+    dictionary = ts.spread_names(ts.constructor_frequency(sigs).where("name <> 'c7'"))  # one name is unknown
+    want = ts.encode(sigs, dictionary).select("sig_ord", ts.fingerprint(F.col("ctx"), F.col("tree"), F.col("n_types")).alias("fp"))
+    fps = ts.fingerprints(sigs, dictionary)
+    for limit in (10, 1_000_000):
+        assert sorted(map(tuple, ts.fingerprints(sigs, dictionary, limit).collect())) == sorted(map(tuple, want.collect()))
+    q = fps.where("sig_ord % 7 = 0").select(F.col("sig_ord").alias("query_id"), "fp", F.lit(False).alias("any_var"))
+    for n in (3, None):
+        one, many = (sorted(map(tuple, ts.coarse_batch(fps, q, n, block).drop("fp").collect())) for block in (1000, 4))
+        assert one == many and len(one) > 20
+
+
 def test_fingerprints_in_sql_equal_python(spark):
     rng = random.Random(2)
     sigs = [Sig(((100, 1),) if rng.random() < 0.3 else (), tuple(random_type(rng, 2) for _ in range(rng.randrange(1, 5)))) for _ in range(60)]

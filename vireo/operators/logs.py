@@ -48,18 +48,20 @@ def daily_summary(rows: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def partial_summary(rows: DataFrame) -> DataFrame:
-    """Mergeable state per day: the set of user hashes, uses, slowest, sum and count, errors."""
+    """Mergeable state, a row per day and user hash (so no row holds all users of a day): uses, slowest, sum and count of
+    seconds, errors."""
     use = F.col("is_use")
     seconds = F.when(use, F.col("seconds")).otherwise(F.lit(0.0))
-    return rows.groupBy("day").agg(
-        F.collect_set(F.when(use, F.xxhash64("user"))).alias("user_set"), F.sum(use.cast("bigint")).alias("uses"), F.max(seconds).alias("slowest"), F.sum(seconds).alias("seconds"), F.count("*").alias("n"), F.sum(F.col("is_error").cast("bigint")).alias("errors")
+    return rows.groupBy("day", F.xxhash64("user").alias("user_hash")).agg(
+        F.sum(use.cast("bigint")).alias("uses"), F.max(seconds).alias("slowest"), F.sum(seconds).alias("seconds"), F.count("*").alias("n"), F.sum(F.col("is_error").cast("bigint")).alias("errors")
     )
 
 
 def merge_summaries(parts: DataFrame) -> DataFrame:
-    """Any number of partial summaries as one per day."""
-    return parts.groupBy("day").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("user_set")))).cast("bigint").alias("users"), F.sum("uses").alias("uses"), F.max("slowest").alias("slowest"), (F.sum("seconds") / F.sum("n")).alias("average"), F.sum("errors").alias("errors")
+    """Any number of partial summaries as one per day: users first, who may be in several, then days."""
+    users = parts.groupBy("day", "user_hash").agg(F.sum("uses").alias("uses"), F.max("slowest").alias("slowest"), F.sum("seconds").alias("seconds"), F.sum("n").alias("n"), F.sum("errors").alias("errors"))
+    return users.groupBy("day").agg(
+        F.count(F.when(F.col("uses") > 0, 1)).alias("users"), F.sum("uses").alias("uses"), F.max("slowest").alias("slowest"), (F.sum("seconds") / F.sum("n")).alias("average"), F.sum("errors").alias("errors")
     )
 
 

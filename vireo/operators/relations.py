@@ -12,16 +12,16 @@ BROADCAST_ROWS = 1_000_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame with a broadcast hint if it is small."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+    """The frame with a broadcast hint if it is small; only a number goes to the driver."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 # joins
 
 
 def materialise(hits: DataFrame, items: DataFrame, rank: str = "rank") -> DataFrame:
-    """Hits (ids with a rank, already limited) with their items, in rank order: the hits are the broadcast side."""
-    return items.join(F.broadcast(hits), "item_id").orderBy(rank)
+    """Hits (ids with a rank, already limited) with their items, in rank order: the hits are the broadcast side while they are few."""
+    return items.join(small(hits), "item_id").orderBy(rank)
 
 
 def name_and_type(by_type: DataFrame, by_name: DataFrame, id_: str = "item_id") -> DataFrame:
@@ -60,16 +60,16 @@ def missing_dependencies(depends: DataFrame, packages: DataFrame) -> DataFrame:
 
 def module_priority(modules: DataFrame, settings: DataFrame) -> DataFrame:
     """(package, module, priority): the last setting (package_pattern, module_pattern, priority, ord) whose wildcards match
-    both, else 0. Settings are a small file."""
+    both, else 0. Settings are lines of a file that people write; they are broadcast while they are few."""
     on = F.like("package", wildcard_pattern(F.col("package_pattern"))) & F.like("module", wildcard_pattern(F.col("module_pattern")))
-    hits = modules.join(F.broadcast(settings), on).groupBy("package", "module").agg(F.max_by("priority", "ord").alias("priority"))
+    hits = modules.join(small(settings), on).groupBy("package", "module").agg(F.max_by("priority", "ord").alias("priority"))
     return modules.join(hits, ["package", "module"], "left").withColumn("priority", F.coalesce("priority", F.lit(0)))
 
 
 def rename_tags(tags: DataFrame, renames: DataFrame, column: str = "value") -> DataFrame:
     """Values replaced by the last rename of (old, new, ord); renamed to nothing they go."""
     last = renames.groupBy(F.col("old").alias(column)).agg(F.max_by("new", "ord").alias("_new"))
-    return tags.join(F.broadcast(last), column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new").where(F.col(column) != "").select(*tags.columns)
+    return tags.join(small(last), column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new").where(F.col(column) != "").select(*tags.columns)
 
 
 def left_biased_union(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

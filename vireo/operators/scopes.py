@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vireo.functions.querylang import Query, Scope, parse_tag
+from vireo.operators import sequences
 
 
 def module_matches(module: Column, value: str) -> Column:
@@ -144,7 +145,7 @@ def completions(packages: DataFrame, tags: DataFrame) -> DataFrame:
     other = tags.where("category <> 'set'").join(packages.where("keep").select("package").distinct(), "package", "left_semi")
     other = other.select(*row(2, w, F.lower("category"), F.lower("value"), pair)).distinct()
     out = sets.unionByName(names).unionByName(other)
-    return out.withColumn("ord", F.row_number().over(Window.orderBy("block", "w", "a", "b", "text"))).select("ord", "text")  # a list for people: thousands of rows
+    return sequences.number_rows(out, ["block", "w", "a", "b", "text"], 1, name="ord").select(F.col("ord").cast("int").alias("ord"), "text")
 
 
 def apply(items: DataFrame, packages: DataFrame, q: Query, name: str = "name", order: str = "ord", **columns: str) -> tuple[DataFrame, Query]:

@@ -13,24 +13,32 @@ def _window(keys: list[str], order: list):
     return w.orderBy(*order)
 
 
+def _ranged(df: DataFrame, order: list, slices: int = 0) -> DataFrame:
+    """The frame in a total order without one big window: range-partitioned, sorted, with each row's partition ``_part`` and
+    its place in it, ``_place``. It is written, so that all readers see the same partitions."""
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    return written(ranged.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranged")
+
+
+def _earlier(each: DataFrame, fold: Column) -> DataFrame:
+    """(_part, _before) of (_part, _v): the fold of all earlier partitions. One row per partition, hence window and broadcast."""
+    before = fold.over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    return F.broadcast(each.select("_part", before.alias("_before")))
+
+
 def number_rows(df: DataFrame, order: list, start: int = 1, keys: list[str] | None = None, name: str = "n") -> DataFrame:
     """Rows numbered from ``start`` within their keys."""
-    return df.withColumn(name, F.row_number().over(_window(keys or [], order)) + (start - 1))
+    if not keys:
+        return dense_ids(df, order, name).withColumn(name, F.col(name) + start)
+    return df.withColumn(name, F.row_number().over(_window(keys, order)) + (start - 1))
 
 
-def dense_ids(df: DataFrame, order: list[str], name: str = "id", slices: int = 0) -> DataFrame:
-    """Numbers 0, 1, ... in a total order without one big window: rows are range-partitioned, partitions are counted, and
-    each row gets its partition's offset plus its place in it. The frame is written once in between, so that both passes
-    see the same partitions."""
-    spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    ranged = written(ranged, "dense")
-    counts = ranged.groupBy("_part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", before.alias("_before"))  # one row per partition
-    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+def dense_ids(df: DataFrame, order: list, name: str = "id", slices: int = 0) -> DataFrame:
+    """Numbers 0, 1, ... in a total order: each row gets the rows of the partitions before plus its place in its own."""
+    ranged = _ranged(df, order, slices)
+    offsets = _earlier(ranged.groupBy("_part").agg(F.count("*").alias("_v")), F.sum("_v"))
+    return ranged.join(offsets, "_part", "left").withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_place")).drop("_part", "_place", "_before")
 
 
 def carry_forward(df: DataFrame, value: Column, order: list, keys: list[str], name: str) -> DataFrame:
@@ -45,11 +53,24 @@ def islands(df: DataFrame, marker: Column, order: list, keys: list[str], name: s
 
 def prefix_offsets(df: DataFrame, size: Column, order: list, keys: list[str] | None = None, name: str = "at") -> DataFrame:
     """The sum of all sizes before a row."""
-    return df.withColumn(name, F.coalesce(F.sum(size).over(_window(keys or [], order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if not keys:
+        return _offsets(df, size, order, name, -1)
+    return df.withColumn(name, F.coalesce(F.sum(size).over(_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def _offsets(df: DataFrame, size: Column, order: list, name: str, end: int) -> DataFrame:
+    """Running sums over the whole frame: each partition's own, and the sums of those before."""
+    ranged = _ranged(df.withColumn("_size", size), order)
+    earlier = _earlier(ranged.groupBy("_part").agg(F.sum("_size").alias("_v")), F.sum("_v"))
+    own = F.sum("_size").over(Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, end))
+    total = F.coalesce(own, F.lit(0)) + F.coalesce("_before", F.lit(0))
+    return ranged.join(earlier, "_part", "left").withColumn(name, total).drop("_part", "_place", "_before", "_size")
 
 
 def inclusive_offsets(df: DataFrame, size: Column, order: list, keys: list[str] | None = None, name: str = "end") -> DataFrame:
-    return df.withColumn(name, F.sum(size).over(_window(keys or [], order).rowsBetween(Window.unboundedPreceding, 0)))
+    if not keys:
+        return _offsets(df, size, order, name, 0)
+    return df.withColumn(name, F.sum(size).over(_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def collapse(df: DataFrame, key: str, order: list, keys: list[str]) -> DataFrame:
@@ -77,13 +98,18 @@ def range_semi_join(df: DataFrame, point: str, ranges: DataFrame, lo: str, hi: s
     return df.join(r, condition, "left_semi")
 
 
-def point_in_ranges(df: DataFrame, point: str, ranges: DataFrame, lo: str, hi: str, width: int = 1_000_000) -> DataFrame:
-    """The same without keys: ranges are cut at multiples of ``width``, and both sides meet by cell."""
-    r = merge_intervals(ranges, lo, hi, [])
-    cell = lambda c: F.floor(F.col(c) / width)
-    r = r.withColumn("_cell", F.explode(F.sequence(cell(lo), cell(hi))))
-    left = df.withColumn("_cell", cell(point))
-    return left.join(r, (left["_cell"] == r["_cell"]) & (left[point] >= r[lo]) & (left[point] <= r[hi]), "left_semi").drop("_cell")
+def point_in_ranges(df: DataFrame, point: str, ranges: DataFrame, lo: str, hi: str) -> DataFrame:
+    """The same without keys: a point is inside if, of all ranges that begin at or before it, the furthest end reaches it.
+    Distinct points and beginnings are range-partitioned together; a running maximum within each partition and the maximum
+    of those before decide. Rows then meet their points by an equi-join, however many share one."""
+    points = df.select(F.col(point).alias("_x")).where("_x is not null").distinct()
+    ends = ranges.where(F.col(lo).isNotNull()).groupBy(F.col(lo).alias("_x")).agg(F.max(hi).alias("_hi"))
+    both = points.withColumns({"_hi": F.lit(None).cast(ends.schema["_hi"].dataType), "_point": F.lit(True)}).unionByName(ends.withColumn("_point", F.lit(False)))
+    ranged = _ranged(both, ["_x", "_point"])
+    earlier = _earlier(ranged.groupBy("_part").agg(F.max("_hi").alias("_v")), F.max("_v"))
+    reach = F.max("_hi").over(Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
+    inside = ranged.withColumn("_reach", reach).join(earlier, "_part", "left").where(F.col("_point") & (F.greatest("_reach", "_before") >= F.col("_x")))
+    return df.join(inside.select(F.col("_x").alias(point)), point, "left_semi")
 
 
 def first_occurrence(df: DataFrame, key: list[str], order: str, carry: list[str] | None = None) -> DataFrame:

@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vireo.functions.signatures import Sig, Ty, from_preorder, preorder
+from vireo.operators.relations import BROADCAST_ROWS, small
+from vireo.session import written
 
 FIRST_CON, TOP = 100, (1 << 32) - 1
 COMMON = 1024
 CANDIDATES, RESULTS = 5000, 100
+#: Queries of a batch that are broadcast together.
+BLOCK = 10_000
 NODE = "array<struct<tag:string,name:bigint,nargs:int>>"
 CTX = "array<struct<cls:bigint,var:bigint>>"
 NAMED_NODE = "array<struct<tag:string,name:string,nargs:int>>"
@@ -47,52 +52,40 @@ def constructor_frequency(sigs: DataFrame, instances: DataFrame | None = None) -
 
 def spread_names(freq: DataFrame) -> DataFrame:
     """(name, id, freq): unique descending ids over the 32-bit range, by interpolation of clipped counts. Each id depends
-    on the one before, so one fold over the sorted dictionary assigns them; the dictionary holds names, not rows."""
-    limit = F.least(F.lit(COMMON), F.element_at("all", 1)["freq"])
-    start = F.struct(
-        (F.lit(99) + F.size("all")).cast("bigint").alias("low"), F.lit(TOP).cast("bigint").alias("high"), F.array().cast("array<struct<name:string,id:bigint,freq:bigint>>").alias("out")
-    )
+    on the one before, so one task folds over the sorted dictionary, batch by batch, and its result is written. The
+    dictionary holds names, not rows; the sort spills, and the fold keeps three numbers."""
+    n, most = freq.agg(F.count("*"), F.max("freq")).first()
+    limit = float(min(COMMON, most or 1))
+
+    def fold(batches):
+        low, high = 99 + n, TOP
+        for b in batches:
+            ids = []
+            for count in b.column("freq").to_pylist():
+                ideal = low + int(float(min(COMMON, count)) * float(high - low) / limit)
+                ids.append(max(low, min(high, ideal)))
+                low, high = low - 1, ids[-1] - 1
+            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(ids, pa.int64()), b.column("freq")], ["name", "id", "freq"])
 
-    def step(state: Column, x: Column) -> Column:
-        ideal = state["low"] + F.floor(F.least(F.lit(COMMON), x["freq"]).cast("double") * (state["high"] - state["low"]).cast("double") / F.col("limit"))
-        real = F.greatest(state["low"], F.least(state["high"], ideal)).cast("bigint")
-        row = F.struct(x["name"].alias("name"), real.alias("id"), x["freq"].alias("freq"))
-        return F.struct((state["low"] - 1).alias("low"), (real - 1).alias("high"), F.concat(state["out"], F.array(row)).alias("out"))
-
-    n = freq.count()
-    if n > 2000:
-        return _spread_on_driver(freq)
-    rows = freq.select(F.col("name"), F.col("freq").cast("bigint").alias("freq"))
-    keyed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("freq")).alias("o"), F.col("name").alias("name"), F.col("freq").alias("freq")))), lambda r: F.struct(r["name"].alias("name"), r["freq"].alias("freq")))
-    folded = rows.agg(keyed.alias("all")).where(F.size("all") > 0).withColumn("limit", limit.cast("double"))
-    return folded.select(F.aggregate("all", start, step, lambda s: s["out"]).alias("out")).select(F.explode("out").alias("r")).select("r.*")
-
-
-def _spread_on_driver(freq: DataFrame) -> DataFrame:
-    """The same fold in Python: appending in an expression is quadratic in the dictionary."""
-    rows = sorted(((r["name"], int(r["freq"])) for r in freq.select("name", "freq").toLocalIterator()), key=lambda r: (-r[1], r[0]))
-    out, low, high, limit = [], 99 + len(rows), TOP, min(COMMON, rows[0][1]) if rows else 1
-    for name, count in rows:
-        ideal = low + int(float(min(COMMON, count)) * float(high - low) / float(limit))
-        real = max(low, min(high, ideal))
-        out.append((name, real, count))
-        low, high = low - 1, real - 1
-    return freq.sparkSession.createDataFrame(out, "name string, id bigint, freq bigint")
+    rows = freq.select("name", F.col("freq").cast("bigint").alias("freq")).repartition(1).sortWithinPartitions(F.desc("freq"), "name")
+    return written(rows.mapInArrow(fold, "name string, id bigint, freq bigint"), "dictionary")
 
 
 # encoding
 
 
-def encode(sigs: DataFrame, names: DataFrame, broadcast_names: int = 1_000_000) -> DataFrame:
+def _constructors() -> Column:
+    """The names of a signature that the dictionary numbers: classes marked by ~, and constructors."""
+    return F.concat(F.transform("ctx", lambda c: F.concat(F.lit("~"), c["cls"])), F.transform(F.filter("tree", lambda n: n["tag"] == "con"), lambda n: n["name"]))
+
+
+def encode(sigs: DataFrame, names: DataFrame, broadcast_names: int = BROADCAST_ROWS) -> DataFrame:
     """Names to numbers: constructors by the dictionary (unknown ones 0), variables by first occurrence after ``_``,
     contexts before terms, at most 99. The dictionary is broadcast only while it is small; ``sig_ord`` identifies rows."""
     vars_ = F.array_distinct(F.concat(F.array(F.lit("_")), F.transform("ctx", lambda c: c["var"]), F.transform(F.filter("tree", lambda n: n["tag"] == "var"), lambda n: n["name"])))
     s = sigs.withColumn("_vars", vars_)
-    cons = F.concat(F.transform("ctx", lambda c: F.concat(F.lit("~"), c["cls"])), F.transform(F.filter("tree", lambda n: n["tag"] == "con"), lambda n: n["name"]))
-    wanted = s.select("sig_ord", F.explode(F.array_distinct(cons)).alias("name"))
-    ids = names.select("name", "id")
-    ids = F.broadcast(ids) if ids.count() <= broadcast_names else ids
-    found = wanted.join(ids, "name").groupBy("sig_ord").agg(F.map_from_entries(F.collect_list(F.struct("name", "id"))).alias("_ids"))
+    wanted = s.select("sig_ord", F.explode(F.array_distinct(_constructors())).alias("name"))
+    found = wanted.join(small(names.select("name", "id"), broadcast_names), "name").groupBy("sig_ord").agg(F.map_from_entries(F.collect_list(F.struct("name", "id"))).alias("_ids"))
     s = s.join(found, "sig_ord", "left").withColumn("_ids", F.coalesce("_ids", F.create_map().cast("map<string,bigint>")))
     number = lambda x: F.least(F.lit(99), F.array_position("_vars", x) - 1).cast("bigint")
     con = lambda x: F.coalesce(F.try_element_at("_ids", x), F.lit(0)).cast("bigint")
@@ -123,6 +116,17 @@ def fingerprint(ctx: Column, tree: Column, n_types: Column) -> Column:
     return F.struct(rare.alias("rare"), F.least(F.lit(255), F.greatest(F.lit(0), n_types - 1)).cast("int").alias("arity"), F.least(F.lit(255), F.size(names)).cast("int").alias("terms"))
 
 
+def fingerprints(sigs: DataFrame, names: DataFrame, broadcast_names: int = BROADCAST_ROWS) -> DataFrame:
+    """The same (sig_ord, fp) without encoding: only a signature's distinct constructors meet the dictionary, so that very long
+    signatures cost no more than their length."""
+    wanted = sigs.select("sig_ord", F.explode(F.array_distinct(_constructors())).alias("name"))
+    found = wanted.join(small(names.select("name", "id"), broadcast_names), "name").groupBy("sig_ord").agg(F.slice(F.array_sort(F.collect_set("id")), 1, 3).alias("_rare"))
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), 3)
+    rare = F.slice(F.concat(F.coalesce("_rare", F.array().cast("array<bigint>")), zeros), 1, 3)
+    flat = sigs.select("sig_ord", F.least(F.lit(255), F.greatest(F.lit(0), F.col("n_types") - 1)).cast("int").alias("_arity"), F.least(F.lit(255), F.size("tree") + 2 * F.size("ctx")).cast("int").alias("_terms"))
+    return flat.join(found, "sig_ord", "left").select("sig_ord", F.struct(rare.alias("rare"), F.col("_arity").alias("arity"), F.col("_terms").alias("terms")).alias("fp"))
+
+
 def query_fingerprint(s: Sig) -> tuple[list[int], int, int]:
     names = [n for _, n, _ in preorder(s.types)] + [x for c in s.ctx for x in c]
     rare = sorted({n for n in names if n >= FIRST_CON})[:3]
@@ -175,14 +179,24 @@ def coarse(sigs: DataFrame, s: Sig, n: int = CANDIDATES) -> DataFrame:
     return found.orderBy("fp_cost", "sig_ord").limit(n)
 
 
-def coarse_batch(sigs: DataFrame, queries: DataFrame, n: int = CANDIDATES) -> DataFrame:
-    """Candidates of many queries (query_id, fp, any_var) at once: a projection over a cross join with the queries, which
-    are few, and a grouped limit."""
-    q = queries.select("query_id", F.col("fp").alias("q"), F.col("any_var").alias("any_"))
-    parts = cost_terms(F.col("q.rare"), F.col("q.arity"), F.col("q.terms"), F.col("any_"), F.col("fp"))
-    pairs = sigs.crossJoin(F.broadcast(q)).withColumn("fp_cost", total_cost(parts)).where("fp_cost is not null")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("fp_cost", "sig_ord"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= n).drop("q", "any_")
+def coarse_batch(sigs: DataFrame, queries: DataFrame, n: int | None = CANDIDATES, block: int = BLOCK) -> DataFrame:
+    """Candidates of many queries (query_id, fp, any_var) at once, with their cost; of each query the n best with their rank,
+    or with no n all of them without. Every block of queries is broadcast and meets all signatures; each task keeps n per
+    query before the rest is shuffled."""
+    blocks = max(1, -(-queries.count() // block))
+    queries = queries.select("query_id", F.col("fp").alias("q"), F.col("any_var").alias("any_"))
+    if blocks > 1:
+        queries = written(queries, "queries")
+    found = None
+    for k in range(blocks):
+        q = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) if blocks > 1 else queries
+        parts = cost_terms(F.col("q.rare"), F.col("q.arity"), F.col("q.terms"), F.col("any_"), F.col("fp"))
+        pairs = sigs.join(F.broadcast(q)).withColumn("fp_cost", total_cost(parts)).where("fp_cost is not null").drop("q", "any_")
+        if n is not None:
+            rank = F.row_number().over(Window.partitionBy("query_id").orderBy("fp_cost", "sig_ord"))
+            pairs = pairs.withColumn("rank", rank).where(F.col("rank") <= n)
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
 
 
 def explain(sigs: DataFrame, s: Sig) -> DataFrame:
@@ -283,11 +297,12 @@ def search_types(sigs: DataFrame, targets: DataFrame, sig: Sig, ids: dict[str, i
             continue
         best = match(coarse(sigs, variants[0][1]), variants, arrow, n)
         # hits are few (at most n per variant), so they are the broadcast side
-        rows = targets.join(F.broadcast(best), "sig_ord").orderBy("variant", "total", "fp_cost", "sig_ord", "pos").limit(n)
+        rows = targets.join(small(best), "sig_ord").orderBy("variant", "total", "fp_cost", "sig_ord", "pos").limit(n)
         found = rows if found is None else found.unionByName(rows)
         if variants[0][0] == 0:
-            found = found.persist()
-            if found.count() >= n:
+            first = found.collect()  # at most n rows
+            found = sigs.sparkSession.createDataFrame(first, found.schema)
+            if len(first) >= n:
                 break
     order = Window.orderBy("variant", "total", "fp_cost", "sig_ord", "pos")  # over at most 2n rows
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("rank", "item_id", "variant", "total")

@@ -117,7 +117,7 @@ def build(
     distinct = typesearch.duplicates_index(sigs, ["ctx", "tree", "n_types"], "popularity_ord", "item_id")
     distinct = written(sequences.dense_ids(distinct, ["first_ord"], "sig_ord"), "sigs")
     instances = parts.where("is_instance and kind = 'instance'").select("tree", "n_types")
-    dictionary = written(typesearch.spread_names(typesearch.constructor_frequency(distinct, instances)), "names")
+    dictionary = typesearch.spread_names(typesearch.constructor_frequency(distinct, instances))
     dictionary.write.parquet(f"{path}/ctor_names")
     encoded = typesearch.encode(distinct.select("sig_ord", "ctx", "tree", "n_types"), dictionary)
     fp = typesearch.fingerprint(F.col("ctx"), F.col("tree"), F.col("n_types"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vireo.functions import scalars as X
 from vireo.functions.querylang import Scope
 from vireo.operators import logs, names, relations, scopes, sequences, typesearch
+from vireo.session import written
 from vireo.streaming import daily
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,7 +214,7 @@ SELECT l_orderkey, l_linenumber FROM lineitem l WHERE EXISTS (SELECT 1 FROM r WH
 def point_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _t(spark, sf_dir, "part").groupBy("p_size").agg(F.min("p_partkey").alias("lo")).select("lo", (F.col("lo") + 10).alias("hi"))
     lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return sequences.point_in_ranges(lines, "l_partkey", r, "lo", "hi", 64).select("l_orderkey", "l_linenumber")
+    return sequences.point_in_ranges(lines, "l_partkey", r, "lo", "hi").select("l_orderkey", "l_linenumber")
 
 
 # popularity
@@ -255,9 +256,10 @@ def missing_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.missing_dependencies(_depends(spark, sf_dir), known)
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 def missing_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.missing(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Customers without a large order: wanted, not seen."""
+    return relations.missing(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("""SELECT c_name AS package, 'order' AS kind, o_orderkey::VARCHAR AS name, '' AS docs, FALSE AS placeholder FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL
@@ -441,9 +443,9 @@ def daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_DAILY)
 def daily_summary_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partial summaries of two halves of the log, merged."""
-    rows = _requests(spark, sf_dir)
-    halves = [logs.partial_summary(rows.where(F.col("user").cast("bigint") % 2 == i)) for i in (0, 1)]
+    """Partial summaries of two halves of the log, merged; most users are in both."""
+    rows = [daily.requests(_t(spark, sf_dir, "events").where(F.col("event_id") % 2 == i)) for i in (0, 1)]
+    halves = [logs.partial_summary(r) for r in rows]
     return logs.merge_summaries(halves[0].unionByName(halves[1])).withColumns({"average": F.round("average", 6), "day": F.col("day").cast("string")})
 
 
@@ -482,19 +484,20 @@ def chart_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A signature per document: a flat term per word of its title (the words before the first full stop)."""
+    """A signature per document: a flat term per word of its text."""
     d = _t(spark, sf_dir, "documents").where("text is not null")
-    words = F.filter(F.split(F.lower(F.split(F.col("text"), "[.\\n]")[0]), "[^a-z]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
     tree = F.transform(words, lambda w: F.struct(F.when(F.length(w) <= 1, "var").otherwise("con").alias("tag"), w.alias("name"), F.lit(0).alias("nargs")))
     return d.select(F.col("doc_id").alias("sig_ord"), F.array().cast(typesearch.NAMED_CTX).alias("ctx"), tree.alias("tree"), F.size(tree).alias("n_types"))
 
 
-_WORDS = "SELECT doc_id, list_filter(regexp_split_to_array(lower(regexp_split_to_array(text, '[.\\n]')[1]), '[^a-z]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL"
+_WORDS = "SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL"
 _FREQ = f"SELECT name, count(*) AS freq FROM (SELECT DISTINCT doc_id, unnest(w) AS name FROM ({_WORDS})) WHERE length(name) > 1 GROUP BY name"
+# once an id is the lowest it may be, all that follow are
 _SPREAD = f"""RECURSIVE freq AS ({_FREQ}), sorted AS (SELECT name, freq, row_number() OVER (ORDER BY freq DESC, name) AS i, (SELECT least(1024, max(freq)) FROM freq)::DOUBLE AS lim FROM freq),
 fold AS (SELECT 0::BIGINT AS i, 100 + (SELECT count(*) FROM freq) AS low, 4294967296::BIGINT AS id UNION ALL
-  SELECT s.i, f.low - 1, greatest(f.low - 1, least(f.id - 1, f.low - 1 + floor(least(1024, s.freq)::DOUBLE * (f.id - 1 - (f.low - 1))::DOUBLE / s.lim)::BIGINT)) FROM fold f JOIN sorted s ON s.i = f.i + 1),
-names AS (SELECT s.name, f.id, s.freq FROM sorted s JOIN fold f USING (i))"""
+  SELECT s.i, f.low - 1, greatest(f.low - 1, least(f.id - 1, f.low - 1 + floor(least(1024, s.freq)::DOUBLE * (f.id - 1 - (f.low - 1))::DOUBLE / s.lim)::BIGINT)) FROM fold f JOIN sorted s ON s.i = f.i + 1 WHERE f.id > f.low),
+names AS (SELECT s.name, coalesce(f.id, 100 + (SELECT count(*) FROM freq) - s.i)::BIGINT AS id, s.freq FROM sorted s LEFT JOIN fold f USING (i))"""
 _FP = f"""{_SPREAD}, sig AS (SELECT doc_id AS sig_ord, w, len(w) AS n FROM ({_WORDS})),
 found AS (SELECT sig_ord, list_sort(list_distinct(list(id))) AS r FROM (SELECT sig_ord, unnest(w) AS name FROM sig) JOIN names USING (name) GROUP BY sig_ord),
 fp AS (SELECT sig_ord, [coalesce(r[1], 0), coalesce(r[2], 0), coalesce(r[3], 0)]::BIGINT[] AS rare, least(255, greatest(0, n - 1))::INTEGER AS arity, least(255, n)::INTEGER AS terms FROM sig LEFT JOIN found USING (sig_ord))"""
@@ -510,35 +513,35 @@ def spread_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typesearch.spread_names(typesearch.constructor_frequency(_signatures(spark, sf_dir)))
 
 
-def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     sigs = _signatures(spark, sf_dir)
-    return typesearch.encode(sigs, typesearch.spread_names(typesearch.constructor_frequency(sigs))).withColumn("fp", typesearch.fingerprint(F.col("ctx"), F.col("tree"), F.col("n_types")))
+    return typesearch.fingerprints(sigs, typesearch.spread_names(typesearch.constructor_frequency(sigs)))
 
 
 @query(f"WITH {_FP} SELECT sig_ord, array_to_string(rare, ',') AS rare, arity, terms FROM fp")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _encoded(spark, sf_dir).select("sig_ord", _joined(F.col("fp.rare")).alias("rare"), "fp.arity", "fp.terms")
+    return _fingerprints(spark, sf_dir).select("sig_ord", _joined(F.col("fp.rare")).alias("rare"), "fp.arity", "fp.terms")
 
 
 _P = "((x - 100)::DOUBLE / 4294967195.0)"
-_COST = f"""q AS (SELECT * FROM fp WHERE sig_ord IN (SELECT sig_ord FROM fp WHERE rare[1] > 0 ORDER BY sig_ord LIMIT 3)),
-pair AS (SELECT q.sig_ord AS query_id, c.sig_ord, c.arity - q.arity AS m, c.terms - q.terms AS t, q.arity AS qa, c.arity AS ca,
+_COST = f"""q AS (SELECT * FROM fp WHERE sig_ord % 50 = 0),
+pair AS (SELECT q.sig_ord AS query_id, q.sig_ord % 100 = 0 AS any_var, c.sig_ord, c.arity - q.arity AS m, c.terms - q.terms AS t, q.arity AS qa, c.arity AS ca,
   list_sum(list_transform(q.rare, lambda x: CASE WHEN x = 0 OR list_contains(c.rare, x) THEN 0 ELSE floor({_P} * 400.0 + (1.0 - {_P}) * 5000.0) END)) +
   list_sum(list_transform(c.rare, lambda x: CASE WHEN x = 0 OR list_contains(q.rare, x) THEN 0 ELSE floor({_P} * 50.0 + (1.0 - {_P}) * 1000.0) END)) AS r FROM q, fp c),
-cost AS (SELECT query_id, sig_ord, (r + CASE WHEN qa = 0 OR ca = 0 THEN CASE WHEN qa = 0 AND ca = 0 THEN 0 END WHEN m = 0 THEN 0 WHEN m = -1 THEN 1000 WHEN m = 1 THEN 300 WHEN m = 2 THEN 900 END
+cost AS (SELECT query_id, sig_ord, (r + CASE WHEN qa = 0 OR ca = 0 THEN CASE WHEN qa = 0 AND ca = 0 THEN 0 END WHEN m = 0 THEN 0 WHEN m = -1 THEN 1000 WHEN m > 0 AND any_var THEN m * 300 WHEN m = 1 THEN 300 WHEN m = 2 THEN 900 END
   + CASE WHEN abs(t) > 20 THEN NULL WHEN t >= 0 THEN t * 10 ELSE -t * 12 END)::BIGINT AS fp_cost FROM pair)"""
 
 
-def _costs(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    sigs = _encoded(spark, sf_dir)
-    q = sigs.where(F.col("fp.rare")[0] > 0).orderBy("sig_ord").limit(3).select(F.col("sig_ord").alias("query_id"), "fp", F.lit(False).alias("any_var"))
+def _costs(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
+    """Queries are the signatures whose id is divisible by 50, every other one with a variable that may be anything."""
+    sigs = written(_fingerprints(spark, sf_dir), "fingerprints")
+    q = sigs.where("sig_ord % 50 = 0").select(F.col("sig_ord").alias("query_id"), "fp", (F.col("sig_ord") % 100 == 0).alias("any_var"))
     return typesearch.coarse_batch(sigs, q, n)
 
 
 @query(f"WITH {_FP}, {_COST} SELECT query_id, sig_ord, fp_cost FROM cost WHERE fp_cost IS NOT NULL")
 def fingerprint_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three signatures as queries against all."""
-    return _costs(spark, sf_dir, 1 << 31 - 1).select("query_id", "sig_ord", "fp_cost")
+    return _costs(spark, sf_dir, None).select("query_id", "sig_ord", "fp_cost")
 
 
 @query(f"WITH {_FP}, {_COST} SELECT query_id, sig_ord, fp_cost, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fp_cost, sig_ord) AS rank FROM cost WHERE fp_cost IS NOT NULL) WHERE rank <= 50")
@@ -619,10 +622,10 @@ def wildcard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(X.wildcard(F.col("p_name"), "*small*ring") | X.wildcard(F.col("p_brand"), "Brand#_")).select("p_partkey")
 
 
-@query("""SELECT p_partkey, replace(p_name, 'ring', '<b>ring</b>') AS text FROM part WHERE contains(p_name, 'ring')""")
+@query("""SELECT p_partkey, replace(replace(regexp_replace(regexp_replace(upper(p_name), 'BLUE|RING|RIN|PLATE|OL', '[\\0]', 'g'), '\\]\\[', '', 'g'), '[', '<b>'), ']', '</b>') AS text FROM part""")
 def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _t(spark, sf_dir, "part").where(F.contains("p_name", F.lit("ring")))
-    return p.select("p_partkey", X.highlight(F.col("p_name"), ["ring"]).alias("text"))
+    """Names in another case, a longer and a shorter one that begin alike, marks that adjoin or overlap."""
+    return _t(spark, sf_dir, "part").select("p_partkey", X.highlight(F.upper("p_name"), ["rin", "Ring", "blue", "plate", "ol"]).alias("text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
