@@ -116,6 +116,11 @@ def test_stream_equals_batch_in_any_order(spark, tmp_path):
     got = daily.summarise(spark.table("state"))
     want = logs.daily_summary(rows)
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    q = daily.start_files(stream, f"{tmp_path}/state", f"{tmp_path}/files")
+    q.processAllAvailable()
+    q.stop()
+    got = daily.summarise(daily.latest(spark, f"{tmp_path}/state"))
+    assert len(list(tmp_path.glob("state/batch=*"))) > 1 and sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
 @pytest.mark.parametrize("rows,needles,want", [(["Test", "more", "tex", "xtee"], ["te"], {"tex": 0 + 2, "xtee": 4, "Test": 3}), (["Base", "base"], ["base"], {"base": 0, "Base": 1}), (["a", "b", "", None], [], {"a": 4, "b": 4})])

@@ -2,13 +2,16 @@
 
 Tables: ``items`` (one row per documented thing), ``names`` (searchable names in popularity order, with what scopes look
 at, so that a scope filter needs no join), ``sigs`` (distinct signatures, encoded, with fingerprints), ``sig_targets``
-(the items of each signature), ``ctor_names`` (the dictionary), ``completions`` and ``warnings``. ``manifest.json`` holds
-the format's version and every table's schema.
+(the items of each signature), ``ctor_names`` (the dictionary), ``containers`` (packages and modules with the range of
+their item ids), ``categories`` (category values with the ranges of their packages), ``completions`` and ``warnings``.
+``manifest.json`` holds the format's version, every table's schema, the number of warnings and the seconds of each phase.
+It is written last: a folder without one is no index, and a failed build removes what it wrote.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,8 +25,8 @@ from vireo.operators import names, relations, scopes, sequences, typesearch
 from vireo.session import written
 from vireo.sources import files as sources
 
-VERSION = 1
-TABLES = ("items", "names", "sigs", "sig_targets", "ctor_names", "completions", "warnings")
+VERSION = 2
+TABLES = ("items", "names", "sigs", "sig_targets", "ctor_names", "containers", "categories", "completions", "warnings")
 METADATA = "package string, version string, synopsis string, is_library boolean, depends array<string>, tags array<struct<category:string,value:string>>, docs_dir string, ok boolean"
 
 
@@ -58,14 +61,39 @@ def build(
     canonical: str | None = None,
     copies: tuple[str, ...] = (),
 ) -> Index:
-    """Parse declaration files (path, body) and write the index to ``path``.
+    """Parse declaration files (path, body, and base where urls do not start at the package's page) and write the index to
+    ``path``.
 
     ``metadata`` describes packages (see sources.parse_metadata), ``sets`` are package sets by label, ``wanted`` the
     packages to keep (all if None), ``settings`` renames of tags and module priorities."""
+    for t in ("manifest.json", *TABLES):
+        p, fs = _path(spark, f"{path}/{t}")
+        if fs.exists(p):
+            raise IndexError_(f"{path} holds {t} already: build into a new folder")
+    try:
+        return _build(spark, files, path, metadata, sets, wanted, settings, canonical, copies)
+    except BaseException:
+        for t in TABLES:
+            p, fs = _path(spark, f"{path}/{t}")
+            fs.delete(p, True)
+        raise
+
+
+def _build(spark, files, path, metadata, sets, wanted, settings, canonical, copies) -> Index:
+    phases, began = {}, time.time()
+
+    def phase(name: str) -> None:
+        nonlocal began
+        phases[name], began = round(time.time() - began, 3), time.time()
+
     metadata = metadata if metadata is not None else spark.createDataFrame([], METADATA)
     renames, priorities = sources.settings_frames(spark, settings)
     metadata = written(metadata, "metadata")
-    entries = written(sources.parse_files(files), "entries")  # parsed once
+    entries = sources.parse_files(files)
+    if "base" in files.columns:
+        entries = entries.join(relations.small(files.select("path", "base").distinct()), "path", "left")
+    entries = written(entries, "entries")  # parsed once
+    phase("parse")
     parts = sources.hierarchy(entries)
     if wanted is not None:
         keep = wanted.select(F.col("package").alias("_wanted")).distinct()
@@ -102,6 +130,13 @@ def build(
     items = written(items.join(categories.withColumnRenamed("package", "in_package"), "in_package", "left").withColumn("categories", F.coalesce("categories", F.array().cast("array<string>"))), "items")
     items.select("item_id", "kind", "url", "package", "module", "item", "docs", "in_package", "in_module", "categories").repartitionByRange("in_package", "item_id").sortWithinPartitions("in_package", "item_id").write.parquet(f"{path}/items")
 
+    phase("items")
+    ids = items.select("item_id", "kind", F.coalesce(F.col("in_package"), F.lit("")).alias("package"), F.col("in_module").alias("module"))
+    packages = scopes.container_ranges(ids, ["package"])
+    modules = scopes.container_ranges(ids, ["package", "module"])
+    packages.select("package", F.lit(None).cast("string").alias("module"), "lo", "hi").unionByName(modules).orderBy("lo", F.col("module").asc_nulls_first()).write.parquet(f"{path}/containers")
+    scopes.category_ranges(packages.withColumn("ord", F.col("lo")), tags).write.parquet(f"{path}/categories")
+
     # parts in popularity order
     own = parts.where("has_target").select(*key, "part_no", F.col("kind").alias("part_kind"), F.col("part_name").alias("name"), "ctx", "tree", "n_types")
     headers = gone.select(F.concat(F.lit("￿"), "package").alias("path"), F.lit(1).alias("line_no"), F.lit(0).alias("entry_no"), F.lit(0).alias("part_no"), F.lit("package").alias("part_kind"), F.col("package").alias("name"))
@@ -112,6 +147,8 @@ def build(
     scope = [F.col("package"), F.nullif(F.col("module"), F.lit("")).alias("module"), F.col("kind"), F.col("categories")]
     named.select(F.col("popularity_ord").alias("ord"), "item_id", "name", *scope).repartitionByRange("ord").sortWithinPartitions("ord").write.parquet(f"{path}/names")
 
+    phase("names")
+
     # signatures, once each
     sigs = ordered.where("part_kind = 'signature'").select("ctx", "tree", "n_types", "popularity_ord", "item_id")
     distinct = typesearch.duplicates_index(sigs, ["ctx", "tree", "n_types"], "popularity_ord", "item_id")
@@ -124,11 +161,13 @@ def build(
     encoded.withColumn("fp", fp).select("sig_ord", "ctx", "tree", "n_types", "fp").repartitionByRange("sig_ord").write.parquet(f"{path}/sigs")
     distinct.select("sig_ord", F.posexplode("ids").alias("pos", "item_id")).write.parquet(f"{path}/sig_targets")
 
+    phase("signatures")
     known = rows.where("kind = 'package'").select("package").distinct().withColumn("keep", F.lit(True))
     scopes.completions(known, tags).write.parquet(f"{path}/completions")
     sources.warnings(entries).write.parquet(f"{path}/warnings")
+    phase("tags")
 
-    manifest = {"version": VERSION, "tables": {t: json.loads(spark.read.parquet(f"{path}/{t}").schema.json()) for t in TABLES}}
+    manifest = {"version": VERSION, "warnings": spark.read.parquet(f"{path}/warnings").count(), "phases": phases, "tables": {t: json.loads(spark.read.parquet(f"{path}/{t}").schema.json()) for t in TABLES}}
     p, fs = _path(spark, f"{path}/manifest.json")
     out = fs.create(p, True)
     out.write(bytearray(json.dumps(manifest).encode()))
@@ -155,7 +194,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
         if not fs.exists(_path(spark, f"{path}/{t}/_SUCCESS")[0]):
             raise IndexError_(f"{path}: table {t} is incomplete")
         tables[t] = spark.read.schema(StructType.fromJson(schemas[t])).parquet(f"{path}/{t}")
-    return Index(spark, path, **tables)
+    return Index(spark, path, **tables, n_warnings=int(manifest.get("warnings", 0)), phases=manifest.get("phases", {}))
 
 
 @dataclass
@@ -167,8 +206,12 @@ class Index:
     sigs: DataFrame
     sig_targets: DataFrame
     ctor_names: DataFrame
+    containers: DataFrame
+    categories: DataFrame
     completions: DataFrame
     warnings: DataFrame
+    n_warnings: int
+    phases: dict[str, float]
 
     def _signature(self, query: str | Query) -> Sig | None:
         if isinstance(query, Query):
@@ -190,6 +233,23 @@ class Index:
         sig = self._signature(query)
         return typesearch.explain(self.sigs, typesearch.encode_query(sig, self._ids(sig)))
 
+    def compare_types(self, query: str | Query, others: list[str]) -> DataFrame:
+        """Given types instead of those of the index: text, fingerprint, the parts of its cost, and the work of unifying."""
+        sig = self._signature(query)
+        rest = [self._signature(o) for o in others]
+        ids = self._ids(Sig((*sig.ctx, *(c for s in rest for c in s.ctx)), (*sig.types, *(t for s in rest for t in s.types))))
+        q, arrow = typesearch.encode_query(sig, ids), ids.get("->", 0)
+        rows = []
+        for i, (text, s) in enumerate(zip(others, rest)):
+            e = typesearch.encode_query(s, ids)
+            rows.append((i, text, typesearch.unify(q, e, arrow), [{"cls": c, "var": v} for c, v in e.ctx], [{"tag": t, "name": n, "nargs": k} for t, n, k in preorder(e.types)], len(e.types)))
+        frame = self.spark.createDataFrame(rows, f"sig_ord bigint, text string, work bigint, ctx {typesearch.CTX}, tree {typesearch.NODE}, n_types int")
+        return typesearch.explain(frame, q)
+
+    def timing(self) -> DataFrame:
+        """(label, total, share): the seconds of each phase of the build, and their sum."""
+        return sequences.share_of_total(self.spark.createDataFrame([(k, float(v)) for k, v in self.phases.items()], "label string, seconds double"), "label", "seconds")
+
     def _containers(self) -> DataFrame:
         return self.names.where("kind <> ''")
 
@@ -215,23 +275,31 @@ class Index:
         hits = scopes.listing(self._containers().where(inside), resolved)
         return found, hits.select("item_id", F.struct(F.lit(0).alias("score"), "ord").alias("rank"))
 
-    def search(self, text: str, n: int = 100, start: int = 1) -> DataFrame:
-        """(rank, url, package, module, kind, item, docs) of the results from the start-th on, at most n."""
+    def search(self, text: str, n: int | None = 100, start: int = 1) -> DataFrame:
+        """(rank, url, package, module, kind, item, docs) of the results from the start-th on, at most n; all if None."""
         _, hits = self.hits(text)
+        if n is None:
+            ranked = sequences.number_rows(hits.withColumnRenamed("rank", "_rank"), ["_rank"], 1, name="rank").where(F.col("rank") >= start)
+            return relations.materialise(ranked.withColumn("rank", F.col("rank").cast("int")), self.items).select("rank", "url", "package", "module", "kind", "item", "docs")
         best = hits.orderBy("rank").offset(max(1, start) - 1).limit(n)
         best = best.withColumn("rank", F.row_number().over(Window.orderBy("rank")) + (max(1, start) - 1))  # over at most n rows
         return relations.materialise(best, self.items).select("rank", "url", "package", "module", "kind", "item", "docs")
 
-    def facets(self, text: str, n: int = 500) -> DataFrame:
-        """(ord, category, value) to narrow the first n results by, without the scopes that the query has."""
+    def facets(self, text: str, groups: int = 25) -> DataFrame:
+        """(ord, category, value) to narrow the groups by that are shown, the first ``groups``, without the scopes that the
+        query has."""
         selected = [t for _, t in scopes.resolve(self.names.where("kind = 'package'").select("name", "ord"), parse_query(text).scopes)[0] if t]
-        rows = self.search(text, n).select(F.col("package.name").alias("package"), "kind", "rank")
-        return scopes.facets(rows, selected)
+        found = written(self.search(text, None), "found")
+        shown = sequences.dedupe_take(found, ["item", "docs"], "rank", groups).select(F.explode("rows").alias("rank"))
+        return scopes.facets(found.select(F.col("package.name").alias("package"), "kind", "rank").join(shown, "rank", "left_semi"), selected)
 
     def sizes(self) -> DataFrame:
-        """(label, total, share): the bytes of every table, and their sum."""
+        """(label, total, share): the bytes of every table, those of the rest (the overhead), and their sum."""
         rows = []
+        p, fs = _path(self.spark, self.path)
+        whole = float(fs.getContentSummary(p).getLength())
         for t in TABLES:
             p, fs = _path(self.spark, f"{self.path}/{t}")
             rows.append((t, float(fs.getContentSummary(p).getLength())))
+        rows.append(("overhead", whole - sum(b for _, b in rows)))
         return sequences.share_of_total(self.spark.createDataFrame(rows, "label string, bytes double"), "label", "bytes")

@@ -47,13 +47,19 @@ def write_jsonl(results: DataFrame, path: str) -> None:
     to_json(results).orderBy("rank").select("json").write.text(path)
 
 
-def distinct_lines(results: DataFrame, n: int = LINES) -> tuple[list[str], bool]:
-    """(the first n distinct result lines, whether there are more)."""
-    lines = results.select("rank", X.result_line(F.col("module.name"), F.col("item")).alias("line"))
+def distinct_lines(results: DataFrame, n: int = LINES, link: bool = False) -> tuple[list[str], bool]:
+    """(the first n distinct result lines, whether there are more); with ``link`` lines end with the url."""
+    line = X.result_line(F.col("module.name"), F.col("item"))
+    lines = results.select("rank", (F.concat(line, F.lit(" -- "), F.coalesce("url", F.lit(""))) if link else line).alias("line"))
     rows = lines.groupBy("line").agg(F.min("rank").alias("rank")).orderBy("rank").limit(n + 1).collect()
     return [r["line"] for r in rows[:n]], len(rows) > n
 
 
+def coloured(text: str, names: list[str]) -> str:
+    """Query names marked for a terminal in a line of text."""
+    return X.highlighted(text, names, "\033[93m", "\033[0m")
+
+
 def info(results: DataFrame) -> DataFrame:
     """(rank, text): a result with where it comes from and its docs."""
     line = X.result_line(F.col("module.name"), F.col("item"))

@@ -233,12 +233,17 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 
 def hierarchy(entries: DataFrame, package_url: str = X.package_url.__defaults__[0]) -> DataFrame:
-    """Entries with their package and module carried forward and urls completed. A new package resets the module;
-    instances have no target."""
+    """Entries with their package and module carried forward and urls completed; a package's url is its file's ``base``, where
+    there is one. A new package resets the module; instances have no target."""
     e = entries.where("entry <> 'warning'")
+    home = F.concat(F.lit(package_url), "name")
+    docs = F.lit("/docs/")
+    if "base" in e.columns:
+        home = F.coalesce("base", home)
+        docs = F.when(F.endswith("base", F.lit("/")) | F.contains("base", F.lit("~ghc")), "").otherwise(docs)  # docs lie at the base itself
     url = F.when(F.col("url") != "", F.col("url"))
     anchor = F.when(F.col("name") != "", X.anchor(F.col("name"), F.col("is_signature"))).otherwise(F.lit(""))
-    own = F.coalesce(url, F.when(F.col("entry") == "package", F.concat(F.lit(package_url), "name")).when(F.col("entry") == "module", F.concat(F.lit("/docs/"), F.replace("name", F.lit("."), F.lit("-")), F.lit(".html"))).otherwise(anchor))
+    own = F.coalesce(url, F.when(F.col("entry") == "package", home).when(F.col("entry") == "module", F.concat(docs, F.replace("name", F.lit("."), F.lit("-")), F.lit(".html"))).otherwise(anchor))
     e = e.withColumn("url", own)
     w = Window.partitionBy("path").orderBy("line_no", "entry_no", "part_no").rowsBetween(Window.unboundedPreceding, 0)
     pair = F.struct("name", "url")
@@ -330,8 +335,8 @@ def metadata_of(path: str, text: str) -> tuple:
 def installed(spark: SparkSession, path: str) -> DataFrame:
     """A dump of installed packages, records apart by ``---`` lines, as (path, body) of package descriptions; all of them
     are libraries."""
-    text = spark.read.option("lineSep", "---").text(path)
-    body = F.regexp_replace(F.regexp_replace("value", "\r", ""), r"^\s+", "")
+    text = spark.read.option("lineSep", "\n---").text(path)  # three dashes inside a line are text
+    body = F.regexp_replace(F.regexp_replace("value", "\r", ""), r"^(?:---)?\s+", "")
     rows = text.select(body.alias("body")).where(F.startswith("body", F.lit("name:")))
     name = F.trim(F.regexp_extract("body", r"^name:\s*(\S+)", 1))
     parsed = parse_metadata(rows.select(name.alias("path"), F.encode("body", "UTF-8").alias("body")))
@@ -347,9 +352,9 @@ def constraint_set(spark: SparkSession, path: str) -> DataFrame:
     return t.where("inside and v <> '' and not startswith(v, '--')").select(F.regexp_extract("v", r"^(\S+)", 1).alias("package")).distinct()
 
 
-def release_set(spark: SparkSession, path: str) -> DataFrame:
-    """Names of ``incLib "name"`` lines of a release source."""
-    name = F.regexp_extract("value", r'^\s*,\s*inc(?:GHC)?Lib\s+"([^"]+)"', 1)
+def release_set(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
+    """Names of ``incLib "name"`` lines of a release source, and of ``incGHCLib`` lines; of the latter alone if ``bundled``."""
+    name = F.regexp_extract("value", r'^\s*,\s*inc' + ("GHC" if bundled else "(?:GHC)?") + r'Lib\s+"([^"]+)"', 1)
     return spark.read.text(path).select(name.alias("package")).where("package <> ''").distinct()
 
 

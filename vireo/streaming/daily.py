@@ -1,7 +1,7 @@
 """Daily summaries of a stream of requests.
 
-Nothing is ever late: a request counts for its own day whenever it arrives, so there is no watermark and the query runs
-in complete mode. Distinct users are exact: users are kept per (day, user) in a first stateful step, which a second step
+Nothing is ever late: a request counts for its own day whenever it arrives, so there is no watermark. Small states live in a
+table in memory (complete mode), others in files to which each batch adds what it changed (update mode). Distinct users are exact: users are kept per (day, user) in a first stateful step, which a second step
 over its output sums up.
 """
 
@@ -47,13 +47,25 @@ def start(stream: DataFrame, name: str, checkpoint: str | None = None, once: boo
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _saved(stream: DataFrame, path: str):
+    """A writer for states too large for the driver: every batch writes the (day, user) rows that it changed to a folder of its
+    own number, so a batch that runs again replaces what it wrote, and a batch costs what it changes."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return per_user(stream).writeStream.outputMode("update").foreachBatch(save)
+
+
 def start_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """For states too large for the driver: every batch replaces the Parquet table at ``path`` by the new state."""
+    return _saved(stream, path).option("checkpointLocation", checkpoint).start()
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
 
-    return per_user(stream).writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", checkpoint).start()
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The state that ``start_files`` keeps at ``path``: of each (day, user) the row of the last batch that changed it."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    values = [c for c in rows.columns if c not in ("day", "user", "batch")]
+    return rows.groupBy("day", "user").agg(F.max_by(F.struct(*values), "batch").alias("r")).select("day", "user", "r.*")
 
 
 def approximate(stream: DataFrame) -> DataFrame:
@@ -79,14 +91,6 @@ def available_now(spark: SparkSession, path: str, files_per_batch: int = 1) -> D
     else:  # a stream reads folders: the one of the file, restricted to it
         stream = reader.option("pathGlobFilter", where.getName()).parquet(str(where.getParent()))
     target = f"{shared_root(spark)}/vireo-daily-{uuid.uuid4().hex}"
-    query = start_files_once(requests(stream), target)
+    query = _saved(requests(stream), f"{target}/state").option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return summarise(spark.read.parquet(f"{target}/state"))
-
-
-def start_files_once(stream: DataFrame, target: str) -> StreamingQuery:
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/state")
-
-    writer = per_user(stream).writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{target}/checkpoint")
-    return writer.trigger(availableNow=True).start()
+    return summarise(latest(spark, f"{target}/state"))
