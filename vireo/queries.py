@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from vireo.functions import scalars as X
 from vireo.functions.querylang import Scope
+from vireo.functions.signatures import parse_type, preorder, to_signature
 from vireo.operators import logs, names, relations, scopes, sequences, typesearch
 from vireo.session import written
+from vireo.sources import files
 from vireo.streaming import daily
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -549,20 +551,59 @@ def coarse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _costs(spark, sf_dir, 50).select("query_id", "sig_ord", "fp_cost", "rank")
 
 
-@query()
-def type_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small synthetic index of signatures, searched by type."""
-    from vireo.plans import samples
+# declarations: a part is one, its brand the package, its type the module
 
-    index = samples.sample_index(spark)
-    return index.search_types("(a -> b) -> [a] -> [b]")
+_DECLARED = "SELECT p_partkey, 'brand' || substr(p_brand, 7) AS package, 'Parts.' || p_type[1] || lower(p_type[2:]) AS module, 'T' || p_size AS a, CASE WHEN p_partkey % 5 = 0 THEN 'a' ELSE 'T' || p_partkey % 7 END AS b, CASE WHEN p_partkey % 5 = 0 THEN 'a' ELSE 'U' END AS c, p_name FROM part"
 
 
-@query()
+def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declaration files (path, body) of a brand's parts, a thousand keys each; every tenth part leaves a line that is none."""
+    p = _t(spark, sf_dir, "part")
+    key, free = F.col("p_partkey").cast("string"), F.col("p_partkey") % 5 == 0
+    name = F.concat(F.substring("p_type", 1, 1), F.lower(F.substring("p_type", 2, 99)))
+    sig = F.concat(F.lit(" :: T"), F.col("p_size").cast("string"), F.lit(" -> "), F.when(free, "a").otherwise(F.concat(F.lit("T"), (F.col("p_partkey") % 7).cast("string"))), F.lit(" -> "), F.when(free, "a").otherwise("U"))
+    lines = F.concat_ws("\n", F.concat(F.lit("module Parts."), name), F.concat(F.lit("-- | "), "p_name"), F.concat(F.lit("f"), key, sig), F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("no declaration "), key, F.lit(" ::"))), F.lit(""))
+    brand = F.concat(F.lit("brand"), F.substring("p_brand", 7, 99))
+    rows = p.select(brand.alias("brand"), F.floor(F.col("p_partkey") / 1000).cast("string").alias("k"), F.struct("p_partkey", lines.alias("lines")).alias("x"))
+    files = rows.groupBy("brand", "k").agg(F.array_sort(F.collect_list("x")).alias("all"))
+    text = F.concat(F.lit("@package "), "brand", F.lit("\n"), F.array_join(F.transform("all", lambda x: x["lines"]), "\n"))
+    return files.select(F.concat_ws("/", F.lit(""), "brand", "k", F.concat("brand", F.lit(".txt"))).alias("path"), F.encode(text, "UTF-8").alias("body")).repartition(spark.sparkContext.defaultParallelism)  # little to read, much to parse
+
+
+@query(f"""SELECT 'f' || p_partkey AS name, package, module, '#v:f' || p_partkey AS url, p_name || chr(10) AS docs, a || ' ' || b || ' ' || c AS types FROM ({_DECLARED})
+UNION ALL SELECT 'warning', NULL, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 10 = 0""")
 def declaration_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vireo.plans import samples
+    """Declaration files parsed: each declaration with its place, url, docs and type, and the lines that can't be parsed."""
+    entries = written(files.parse_files(_declared(spark, sf_dir)), "entries")
+    types = F.array_join(F.transform("tree", lambda n: n["name"]), " ")
+    parts = files.hierarchy(entries).where("entry = 'decl' and kind = 'signature'")
+    none = [F.lit(None).cast("string").alias(c) for c in ("package", "module", "url", "docs", "types")]
+    return parts.select("name", F.col("package.name").alias("package"), F.col("module.name").alias("module"), "url", "docs", types.alias("types")).unionByName(files.warnings(entries).select(F.lit("warning").alias("name"), *none))
+
 
-    return samples.sample_index(spark).items
+_FOUND = " UNION ALL ".join(f"SELECT '{text}' AS query, p_partkey AS item_id, {work}::BIGINT AS work FROM ({_DECLARED}) WHERE {where}" for text, work, where in (("T5 -> T3 -> U", 0, "a = 'T5' AND b = 'T3' AND c = 'U'"), ("T5 -> b -> b", 1, "a = 'T5' AND b = 'a'"), ("T5 -> Missing", 0, "FALSE"), ("T5 -> T3 -> T3", 1, "a = 'T5' AND b = 'a'")))
+
+
+@query(_FOUND)
+def type_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of all parts as signatures, once each; of each query the candidates of least cost that unify, with their items."""
+    parts = files.hierarchy(files.parse_files(_declared(spark, sf_dir))).where("kind = 'signature'").withColumn("item_id", F.substring("name", 2, 20).cast("bigint"))
+    distinct = sequences.dense_ids(typesearch.duplicates_index(parts, ["ctx", "tree", "n_types"], "item_id", "item_id"), ["first_ord"], "sig_ord")
+    distinct = written(distinct, "signatures")
+    dictionary = typesearch.spread_names(typesearch.constructor_frequency(distinct))
+    sigs = typesearch.encode(distinct.select("sig_ord", "ctx", "tree", "n_types"), dictionary)
+    sigs = written(sigs.withColumn("fp", typesearch.fingerprint(F.col("ctx"), F.col("tree"), F.col("n_types"))), "encoded")
+    targets = distinct.select("sig_ord", F.posexplode("ids").alias("pos", "item_id"))
+    found = None
+    for text in ("T5 -> T3 -> U", "T5 -> b -> b", "T5 -> Missing", "T5 -> T3 -> T3"):
+        sig = to_signature(parse_type(text, query=True))
+        wanted = [n for tag, n, _ in preorder(sig.types) if tag == "con"]
+        ids = {r["name"]: r["id"] for r in dictionary.where(F.col("name").isin(*wanted)).collect()}
+        q = typesearch.encode_query(sig, ids)
+        best = typesearch.match(typesearch.coarse(sigs, q), [(0, q)], ids.get("->", 0))
+        rows = relations.expand_targets(best, targets).select(F.lit(text).alias("query"), "item_id", "work")
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 # scalars
