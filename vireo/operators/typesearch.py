@@ -27,11 +27,22 @@ NAMED_CTX = "array<struct<cls:string,var:string>>"
 # dictionary
 
 
+def _constructors() -> Column:
+    """The names of a signature that the dictionary numbers: classes marked by ~, and constructors."""
+    return F.concat(F.transform("ctx", lambda c: F.concat(F.lit("~"), c["cls"])), F.transform(F.filter("tree", lambda n: n["tag"] == "con"), lambda n: n["name"]))
+
+
+def outline(sigs: DataFrame) -> DataFrame:
+    """(sig_ord, cons, arity, terms): a signature's distinct constructors and what else its fingerprint needs, in one pass."""
+    arity = F.least(F.lit(255), F.greatest(F.lit(0), F.col("n_types") - 1)).cast("int")
+    terms = F.least(F.lit(255), F.size("tree") + 2 * F.size("ctx")).cast("int")
+    return sigs.select("sig_ord", F.array_distinct(_constructors()).alias("cons"), arity.alias("arity"), terms.alias("terms"))
+
+
 def constructor_uses(sigs: DataFrame) -> DataFrame:
-    """(name, uses): in how many signatures each constructor, and each class marked by ~, occurs."""
-    classes = F.transform(F.col("ctx"), lambda c: F.concat(F.lit("~"), c["cls"]))
-    cons = F.transform(F.filter("tree", lambda n: n["tag"] == "con"), lambda n: n["name"])
-    return sigs.select(F.explode(F.array_distinct(F.concat(classes, cons))).alias("name")).groupBy("name").agg(F.count("*").alias("uses"))
+    """(name, uses): in how many signatures (or outlines) each constructor, and each class marked by ~, occurs."""
+    cons = F.col("cons") if "cons" in sigs.columns else F.array_distinct(_constructors())
+    return sigs.select(F.explode(cons).alias("name")).groupBy("name").agg(F.count("*").alias("uses"))
 
 
 def instance_counts(instances: DataFrame) -> DataFrame:
@@ -74,11 +85,6 @@ def spread_names(freq: DataFrame) -> DataFrame:
 # encoding
 
 
-def _constructors() -> Column:
-    """The names of a signature that the dictionary numbers: classes marked by ~, and constructors."""
-    return F.concat(F.transform("ctx", lambda c: F.concat(F.lit("~"), c["cls"])), F.transform(F.filter("tree", lambda n: n["tag"] == "con"), lambda n: n["name"]))
-
-
 def encode(sigs: DataFrame, names: DataFrame, broadcast_names: int = BROADCAST_ROWS) -> DataFrame:
     """Names to numbers: constructors by the dictionary (unknown ones 0), variables by first occurrence after ``_``,
     contexts before terms, at most 99. The dictionary is broadcast only while it is small; ``sig_ord`` identifies rows."""
@@ -116,15 +122,14 @@ def fingerprint(ctx: Column, tree: Column, n_types: Column) -> Column:
     return F.struct(rare.alias("rare"), F.least(F.lit(255), F.greatest(F.lit(0), n_types - 1)).cast("int").alias("arity"), F.least(F.lit(255), F.size(names)).cast("int").alias("terms"))
 
 
-def fingerprints(sigs: DataFrame, names: DataFrame, broadcast_names: int = BROADCAST_ROWS) -> DataFrame:
+def fingerprints(outlines: DataFrame, names: DataFrame, broadcast_names: int = BROADCAST_ROWS) -> DataFrame:
     """The same (sig_ord, fp) without encoding: only a signature's distinct constructors meet the dictionary, so that very long
     signatures cost no more than their length."""
-    wanted = sigs.select("sig_ord", F.explode(F.array_distinct(_constructors())).alias("name"))
+    wanted = outlines.select("sig_ord", F.explode("cons").alias("name"))
     found = wanted.join(small(names.select("name", "id"), broadcast_names), "name").groupBy("sig_ord").agg(F.slice(F.array_sort(F.collect_set("id")), 1, 3).alias("_rare"))
     zeros = F.array_repeat(F.lit(0).cast("bigint"), 3)
     rare = F.slice(F.concat(F.coalesce("_rare", F.array().cast("array<bigint>")), zeros), 1, 3)
-    flat = sigs.select("sig_ord", F.least(F.lit(255), F.greatest(F.lit(0), F.col("n_types") - 1)).cast("int").alias("_arity"), F.least(F.lit(255), F.size("tree") + 2 * F.size("ctx")).cast("int").alias("_terms"))
-    return flat.join(found, "sig_ord", "left").select("sig_ord", F.struct(rare.alias("rare"), F.col("_arity").alias("arity"), F.col("_terms").alias("terms")).alias("fp"))
+    return outlines.join(found, "sig_ord", "left").select("sig_ord", F.struct(rare.alias("rare"), "arity", "terms").alias("fp"))
 
 
 def query_fingerprint(s: Sig) -> tuple[list[int], int, int]:

@@ -184,11 +184,23 @@ def category_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("ranges", _joined(F.transform("ranges", lambda r: F.concat_ws("-", r["lo"], r["hi"]))))
 
 
-@query("SELECT DISTINCT p_brand AS package FROM part WHERE p_brand IN ('Brand#2', 'Brand#4')")
+@query("""WITH m AS (SELECT DISTINCT p_brand AS package, p_type AS module FROM part), p AS (SELECT DISTINCT package FROM m)
+SELECT 'all' AS asked, package, NULL AS module FROM p UNION ALL SELECT 'set', package, NULL FROM p WHERE package IN ('Brand#2', 'Brand#4') UNION ALL
+SELECT 'module', package, module FROM m WHERE starts_with(lower(module), 'prom') UNION ALL SELECT 'is:module', package, module FROM m UNION ALL
+SELECT 'both', package, NULL FROM p WHERE package = 'Brand#4'""")
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("package")).distinct()
-    rows = rows.select("package", F.lit(None).cast("string").alias("module"), F.lit("package").alias("kind"), F.when(F.col("package").isin("Brand#2", "Brand#4"), F.array(F.lit("set:even"))).otherwise(F.array().cast("array<string>")).alias("categories"))
-    return scopes.listing(rows, [(Scope(True, "set", "even"), Scope(True, "set", "even"))]).select("package")
+    """What scopes without name and type list: all packages, those of a set, modules, and what two scopes agree on."""
+    rows = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("package"), F.col("p_type").alias("module")).distinct()
+    tagged = F.when(F.col("package").isin("Brand#2", "Brand#4"), F.array(F.lit("set:even"))).otherwise(F.array().cast("array<string>")).alias("categories")
+    packages = rows.select("package").distinct().select("package", F.lit(None).cast("string").alias("module"), F.lit("package").alias("kind"), tagged)
+    containers = packages.unionByName(rows.select("package", "module", F.lit("module").alias("kind"), tagged))
+    even, four = Scope(True, "set", "even"), Scope(True, "package", "Brand#4")
+    asked = {"all": [], "set": [even], "module": [Scope(True, "module", "prom")], "is:module": [Scope(True, "is", "module")], "both": [even, four], "none": [Scope(True, "package", "Brand#1x")]}
+    found = None
+    for label, wanted in asked.items():
+        out = scopes.listing(containers, [(s, s) for s in wanted]).select(F.lit(label).alias("asked"), "package", "module")
+        found = out if found is None else found.unionByName(out)
+    return found
 
 
 # intervals
@@ -516,7 +528,7 @@ def spread_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sigs = _signatures(spark, sf_dir)
+    sigs = written(typesearch.outline(_signatures(spark, sf_dir)), "outlines")  # read once
     return typesearch.fingerprints(sigs, typesearch.spread_names(typesearch.constructor_frequency(sigs)))
 
 
@@ -609,9 +621,12 @@ def type_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # scalars
 
 
-@query("""SELECT page_id, regexp_replace(html, '<[^>]*>?', '', 'g') AS text FROM pages""")
+@query("""WITH cut AS (SELECT page_id, regexp_replace(left(html, len(html) - page_id % 9) || ' &lt;b&gt; &amp;lt; <i', '<[^>]*>?', '', 'g') AS t FROM pages)
+SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS text FROM cut""")
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "pages").select("page_id", X.strip_tags(F.col("html")).alias("text"))
+    """Pages as text: tags go, one that does not close takes the rest, then entities are read, each once."""
+    html = F.concat(F.expr("left(html, int(length(html) - page_id % 9))"), F.lit(" &lt;b&gt; &amp;lt; <i"))
+    return _t(spark, sf_dir, "pages").select("page_id", X.inner_text(html).alias("text"))
 
 
 @query("""SELECT page_id, array_to_string(list_filter(string_split(regexp_extract(url, '^(?:[a-z]+://[^/]*)?/?([^?#]*)', 1), '/'), lambda x: x <> ''), ' ') AS path, 'https://packages.example/package/' || regexp_extract(url, '//([^/]*)', 1) AS package_url FROM pages""")
