@@ -1,12 +1,14 @@
 """Flattened trees against a walk node by node, statistics against plain Python, held-out accuracy."""
 
 import os
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from vireo.llm import quality
+from vireo.llm import common, quality
 
 SF = "/root/testdata/sf0.1"
 
@@ -118,3 +120,18 @@ def test_held_out_accuracy(spark):
     base = max(scored["quality"].mean(), 1 - scored["quality"].mean())
     print("held-out accuracy", right, "majority", base)
     assert right > base and right > 0.8
+
+
+def test_long_texts_take_little_memory(spark):
+    """A batch's code points are held a chunk at a time; batches of long texts are small."""
+    texts = ["Plain words, and a number 7. " * 10_000] * 150
+    quality.statistics(texts[:1])
+    tracemalloc.start()
+    x = quality.statistics(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("peak MB", peak / 1e6)
+    assert peak < 120e6 and (x == x[0]).all()
+    common.small_batches(spark)
+    sizes = spark.range(40, numPartitions=1).selectExpr("repeat('word ', 200000) as text").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in bs), "n bigint").collect()
+    assert max(r.n for r in sizes) <= 2 * common.BATCH_BYTES

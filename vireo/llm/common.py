@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; texts may be long, so far fewer than Spark's default of 10,000.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, and rows of a batch of the Parquet reader; texts may be long, so far fewer than Spark's
+#: defaults of 10,000 rows, 64 MB and 4,096 rows.
+BATCH_ROWS, BATCH_BYTES, READER_ROWS = 1000, 8 << 20, 256
 _own: dict[str, str] = {}
 
 
@@ -75,9 +76,11 @@ def drop_written(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small, whatever the texts' lengths."""
+    """Keep batches of texts small, in Arrow and in the Parquet reader, whatever the texts' lengths."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
 
 
 def pass_rows(

@@ -80,9 +80,8 @@ def statistics(texts: list[str | None]) -> np.ndarray:
     """(texts, FEATURES)"""
     out = np.zeros((len(texts), len(FEATURES)))
     kinds = _classes()
-    raws = {first: raw for first, _, raw in textnum.chunks(texts)} if texts else {}
-    for t in textnum.tokenize(texts):
-        n, raw = len(t.base), raws[t.first]
+    for t, (_, _, raw) in zip(textnum.tokenize(texts), textnum.chunks(texts)):
+        n = len(t.base)
         chars = np.diff(np.append(t.base, len(raw))) - 1
         kind = kinds[raw]
         owner = np.repeat(np.arange(n), chars + 1)
