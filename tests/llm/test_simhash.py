@@ -68,6 +68,33 @@ def test_within_19_bits_nothing_is_missed(spark):
         assert [found.get(i, i) for i in range(len(fp))] == label.tolist()
 
 
+def test_no_pair_within_the_distance_is_left_out(spark, monkeypatch):
+    """Pairs of 20 to 40 flips, where no third document connects them; also where blocks are looked up by flips."""
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 2, size=(400, 256), dtype=np.uint8)
+    other = bits.copy()
+    for k, r in enumerate(other):
+        r[rng.choice(256, size=20 + k % 21, replace=False)] ^= 1
+    fp = np.packbits(np.concatenate([bits, other]), axis=1).view(np.int64)
+    distinct = spark.createDataFrame([(i, *map(int, f)) for i, f in enumerate(fp)], "rep bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    label, _ = brute(fp.view(np.uint64), np.ones(len(fp), dtype=bool), 40)
+    assert label[400:].tolist() == list(range(400))
+    for split_rows in (100_000, 20):
+        found = {r.node: r.root for r in simhash.components(simhash.links(distinct, 40, split_rows)).collect()}
+        assert [found.get(i, i) for i in range(len(fp))] == label.tolist()
+    d = np.bitwise_count(fp.view(np.uint64)[:, None] ^ fp.view(np.uint64)[None]).sum(axis=2)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(fp))), *(pa.array(fp[:, k].copy()) for k in range(4))], ["rep", *simhash._F])
+    monkeypatch.setattr(simhash, "PAIRWISE", 0)
+    monkeypatch.setattr(simhash, "FOUND", 10)
+    pairs = set()
+    for table in simhash._spread(2)([batch]):
+        table = pa.Table.from_batches([table])
+        for s in np.unique(table["split"].to_numpy()):
+            out = simhash._match(40)(table.filter(pa.array(table["split"].to_numpy() == s)))
+            pairs |= set(zip(out["a"].to_pylist(), out["b"].to_pylist()))
+    assert pairs == {(i, j) for i, j in zip(*np.nonzero(np.triu(d <= 40, 1)))}
+
+
 def test_loose_runs_are_compared_in_full(spark):
     """Many fingerprints that share a segment, in clusters that are not near its first row."""
     rng = np.random.default_rng(6)

@@ -1,18 +1,17 @@
 """SimHash near-duplicate removal by multi-index hashing.
 
 Each document gets a 256-bit SimHash of its distinct tokens. Fingerprints that are equal collapse first. The others are
-cut into ten segments of 25 bits, and in another order of their bits into ten more; in each segment's table a fingerprint's
-ball of Hamming radius 1 is enumerated, the matches are fetched, and the full 256-bit distance decides. Any pair within 19
-bits must agree in some segment to within one bit, so it is always found; pairs from 20 bits to ``max_distance`` are found
-with a probability that the tests and the README measure. No number of partners is capped. A run of equal segments is first
-compared with its first row; where all are near it, they are connected, and other runs need to be near that row alone;
-elsewhere every row is compared with every other. So the connected groups are those of all pairs, at a cost linear in a
-group of copies.
-
-Two segments within one flip agree in their upper or in their lower half. A fingerprint has one row per table and half,
-and rows are split by the leading bits of that half; the split by upper halves looks up the flips of lower bits, and the
-other way round. So every fingerprint is shuffled ``2 * SEGMENTS`` times, whatever the number of splits: more documents mean
-more splits, not other results. Rows carry the fingerprint, as by chance every row meets many others to be verified.
+cut into eleven blocks of 23 bits (for ``max_distance`` 40; a quarter as many blocks as the distance plus one, rounded up), and
+each block into four pieces. 41 pieces are more than 40 flips, so two fingerprints within the distance have a block that
+differs in three bits at most, and in it a piece that is equal: they meet in the table of that block and piece, where every
+block within three flips is looked up and the full 256-bit distance decides. So no pair within the distance is left out, and
+no number of partners is capped. A run of equal blocks is first compared with its first row; where all are near it, they are
+connected, and other runs need to be near that row alone; elsewhere every row is compared with every other. So the connected
+groups are those of all pairs, at a cost linear in a group of copies.
+
+A fingerprint has one row per block and piece, and rows are split by the leading bits of that piece. So every fingerprint is
+shuffled ``2 * SEGMENTS`` times, whatever the number of splits: more documents mean more splits, up to the values of a piece,
+not other results. Rows carry the fingerprint, as by chance every row meets many others to be verified.
 
 Defined results: a null doc_id or a text without tokens has no fingerprint, is in no group and stays; rows that repeat a
 doc_id are one document, which belongs to the groups of all its texts, and of which one row stays (of the smallest
@@ -33,13 +32,15 @@ from pyspark.sql import functions as F
 
 from vireo.llm import common, textnum
 
-WORDS, SEGMENTS, WIDTH, MAX_DISTANCE = 4, 20, 25, 40
-#: Low bits of a segment that make up its lower half.
-LOWER = 13
-#: Which bit of the fingerprint each bit of the segments is: ten segments in order, ten in another order of the bits.
-_BITS = np.concatenate([np.arange(SEGMENTS // 2 * WIDTH), np.random.RandomState(11).permutation(64 * WORDS)[: SEGMENTS // 2 * WIDTH]])
+WORDS, WIDTH, MAX_DISTANCE = 4, 24, 40
+#: Halves of the blocks that ``MAX_DISTANCE`` needs: at most WIDTH bits a block.
+SEGMENTS = 2 * -(-(MAX_DISTANCE + 1) // 4)
+#: Room for the leading bits of a piece in the number of a split.
+PIECE = 12
 #: Distinct fingerprints that one split of a table holds, about; only the split depends on it.
 SPLIT_ROWS = 100_000
+#: Distinct blocks with an equal piece up to which all pairs are compared bit by bit, not by flips; pairs held before they are folded.
+PAIRWISE, FOUND = 400, 1 << 20
 _F = [f"f{i}" for i in range(WORDS)]
 _FP = ", ".join(f"{f} bigint" for f in _F)
 _SALT = [np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for k in range(WORDS)]
@@ -84,24 +85,36 @@ def fingerprints(docs: DataFrame, *carry: Column) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(["doc_id bigint", _FP, *(f"{n} bigint" for n in names)]))
 
 
-def _segments(fp: np.ndarray) -> np.ndarray:
-    """The segments of each fingerprint as integers: (rows, SEGMENTS)."""
-    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1)[:, _BITS]
-    weight = (1 << np.arange(WIDTH - 1, -1, -1)).astype(np.int64)
-    return bits.reshape(len(fp), SEGMENTS, WIDTH).astype(np.int64) @ weight
+def _blocks(max_distance: int) -> tuple[int, np.ndarray]:
+    """(number of blocks, edges of a block's four pieces) for the distance."""
+    n = -(-(max_distance + 1) // 4)
+    return n, np.linspace(0, min(WIDTH, 64 * WORDS // n), 5).astype(np.int64)
 
 
-def _spread(prefix: int):
-    """Rows of the tables, two per segment: (split, segment, rep, fingerprint)."""
+def _segments(fp: np.ndarray, max_distance: int = MAX_DISTANCE) -> np.ndarray:
+    """The halves of the blocks of each fingerprint as integers: (rows, 2 * blocks)."""
+    n, edge = _blocks(max_distance)
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1)[:, : n * edge[4]]
+    bits = bits.reshape(len(fp), n, edge[4]).astype(np.int64)
+    half = [bits[:, :, a:z] @ (1 << np.arange(z - a - 1, -1, -1)) for a, z in ((0, edge[2]), (edge[2], edge[4]))]
+    return np.stack(half, axis=2).reshape(len(fp), 2 * n)
+
+
+def _spread(prefix: int, max_distance: int = MAX_DISTANCE):
+    """Rows of the tables, one per piece: (split, block with the piece in front, rep, fingerprint)."""
+    n, edge = _blocks(max_distance)
+    width = int(edge[4])
 
     def run(batches):
         for b in batches:
-            seg = _segments(np.stack([b.column(f).to_numpy() for f in _F], axis=1))
-            for s in range(SEGMENTS):
-                for half in range(2):
-                    lead = seg[:, s] >> (WIDTH - prefix) if not half else (seg[:, s] & ((1 << LOWER) - 1)) >> (LOWER - prefix)
-                    split = ((2 * s + half) << LOWER) | lead
-                    yield pa.RecordBatch.from_arrays([pa.array(split), pa.array(seg[:, s].astype(np.int32)), b.column("rep"), *(b.column(f) for f in _F)], ["split", "key", "rep", *_F])
+            half = _segments(np.stack([b.column(f).to_numpy() for f in _F], axis=1), max_distance)
+            for s in range(n):
+                key = half[:, 2 * s] << int(edge[4] - edge[2]) | half[:, 2 * s + 1]
+                for q in range(4):
+                    size, left = int(edge[q + 1] - edge[q]), int(edge[q])
+                    key_q = (key << left | key >> (width - left)) & ((1 << width) - 1)  # rotated until the piece is in front
+                    split = ((4 * s + q) << PIECE) | (key_q >> (width - min(prefix, size)))
+                    yield pa.RecordBatch.from_arrays([pa.array(split), pa.array(key_q.astype(np.int32)), b.column("rep"), *(b.column(f) for f in _F)], ["split", "key", "rep", *_F])
 
     return run
 
@@ -117,8 +130,12 @@ class Runs(NamedTuple):
 
 
 def _within(fp: np.ndarray, x: np.ndarray, y: np.ndarray, most: int, found: list) -> np.ndarray:
-    ok = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= most
-    found.append((x[ok], y[ok]))
+    """Which of the pairs are near; two words rule nearly all others out."""
+    some = np.flatnonzero(np.bitwise_count(fp[:, 0][x] ^ fp[:, 0][y]) + np.bitwise_count(fp[:, 1][x] ^ fp[:, 1][y]) <= most)
+    some = some[np.bitwise_count(fp[x[some]] ^ fp[y[some]]).sum(axis=1, dtype=np.int64) <= most]
+    found.append((x[some], y[some]))
+    ok = np.zeros(len(x), dtype=bool)
+    ok[some] = True
     return ok
 
 
@@ -143,17 +160,6 @@ def _runs(fp: np.ndarray, key: np.ndarray, rows: np.ndarray, most: int, found: l
     return Runs(rows, start, size, k[start], np.bincount(of[rest[~ok]], minlength=len(start)) == 0)
 
 
-def _cross(fp: np.ndarray, p: Runs, q: Runs, i: np.ndarray, j: np.ndarray, most: int, found: list) -> None:
-    """Compare runs i of p with runs j of q. If both are tight and their pivots are near, all their rows are connected
-    already; else every row is compared with every other."""
-    ok = _within(fp, p.rows[p.start[i]], q.rows[q.start[j]], most, found)
-    rest = np.flatnonzero(~(ok & p.tight[i] & q.tight[j]) & (p.size[i] * q.size[j] > 1))
-    i, j = i[rest], j[rest]
-    for pair, at in _products(p.size[i] * q.size[j]):
-        n = q.size[j[pair]]
-        _within(fp, p.rows[p.start[i[pair]] + at // n], q.rows[q.start[j[pair]] + at % n], most, found)
-
-
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(root, node): each node of the edges with the smallest node of its component."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -170,26 +176,73 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
+def _fold(found: list, most: int = FOUND) -> tuple[np.ndarray, np.ndarray] | None:
+    """Put the pairs found so far, if they are more than ``most``, as one star per component, so that they stay few."""
+    if sum(len(x) for x, _ in found) <= most and most:
+        return None
+    x, y = (np.concatenate([np.zeros(0, dtype=np.int64), *c]) for c in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 2
+    root, node = _stars(x, y)
+    found[:] = [(root[root != node], node[root != node])]
+    return found[0]
+
+
+def _cross(fp: np.ndarray, p: Runs, q: Runs, i: np.ndarray, j: np.ndarray, most: int, found: list) -> None:
+    """Compare runs i of p with runs j of q. If both are tight and their pivots are near, all their rows are connected
+    already; else every row is compared with every other."""
+    ok = _within(fp, p.rows[p.start[i]], q.rows[q.start[j]], most, found)
+    rest = np.flatnonzero(~(ok & p.tight[i] & q.tight[j]) & (p.size[i] * q.size[j] > 1))
+    i, j = i[rest], j[rest]
+    for pair, at in _products(p.size[i] * q.size[j]):
+        n = q.size[j[pair]]
+        _within(fp, p.rows[p.start[i[pair]] + at // n], q.rows[q.start[j[pair]] + at % n], most, found)
+        _fold(found)
+    _fold(found)
+
+
+def _close(key: np.ndarray, low: int):
+    """(i, j) of all pairs of the distinct ``key``, which rise, that agree but for one to three of their ``low`` low bits, in
+    blocks, each pair once."""
+    edge = np.append(textnum.runs(key >> low), len(key))
+    table, flips = None, None
+    for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        k = (key[a:z] & ((1 << low) - 1)).astype(np.int32)
+        if z - a <= PAIRWISE:
+            near = np.bitwise_count(k[:, None] ^ k[None, :]) <= 3
+            i, j = np.nonzero(near)
+            up = i < j
+            yield i[up] + a, j[up] + a
+            continue
+        if table is None:
+            table = np.full(1 << low, -1, dtype=np.int32)
+            flips = [np.array([1 << h, *(1 << h | 1 << x for x in range(h)), *(1 << h | 1 << x | 1 << y for x in range(h) for y in range(x))], dtype=np.int32) for h in range(low)]
+        table[k] = np.arange(a, z, dtype=np.int32)
+        for h in range(low):
+            mine = np.flatnonzero(~(k >> h) & 1)  # each pair from the side that has 0 in the highest bit that differs
+            step = max(1, (1 << 18) // max(1, len(mine)))
+            for f in range(0, len(flips[h]), step):
+                part = flips[h][f : f + step]
+                to = table[part[:, None] ^ k[mine]].ravel()
+                hit = np.flatnonzero(to >= 0)
+                yield mine[hit % max(1, len(mine))] + a, to[hit].astype(np.int64)
+        table[k] = -1
+
+
 def _match(max_distance: int):
-    """The components of one split of one table: pairs within one flip here and ``max_distance`` in all connect."""
+    """The components of one split of one table: pairs within three flips of a block and ``max_distance`` in all connect."""
+    _, edges = _blocks(max_distance)
 
     def run(t: pa.Table) -> pa.Table:
-        half = t.column("split")[0].as_py() >> LOWER & 1
-        fp = np.stack([t.column(f).to_numpy() for f in _F], axis=1).view(np.uint64)
+        q = (t.column("split")[0].as_py() >> PIECE) % 4
+        fp = np.stack([t.column(f).to_numpy().view(np.uint64) for f in _F]).T  # each word in a row of its own
         key, rep = t.column("key").to_numpy().astype(np.int64), t.column("rep").to_numpy()
         found: list = []
         own = _runs(fp, key, np.arange(len(key)), max_distance, found)
-        if not half:  # equal segments meet here alone
+        if not q:  # equal blocks meet here alone
             loose = np.flatnonzero(~own.tight)
             _cross(fp, own, own, loose, loose, max_distance, found)
-        for bit in range(LOWER, WIDTH) if half else range(LOWER):
-            i = np.flatnonzero(~(own.key >> bit) & 1)  # each flip from the side that has 0
-            flipped = own.key[i] | (1 << bit)
-            j = np.searchsorted(own.key, flipped)
-            ok = np.flatnonzero(j < len(own.key))
-            ok = ok[own.key[j[ok]] == flipped[ok]]
-            _cross(fp, own, own, i[ok], j[ok], max_distance, found)
-        x, y = (np.concatenate([np.zeros(0, dtype=np.int64), *c]) for c in zip(*found))
+        for i, j in _close(own.key, int(edges[4] - edges[q + 1] + edges[q])):
+            _cross(fp, own, own, i, j, max_distance, found)
+        x, y = _fold(found, 0)
         root, node = _stars(rep[x], rep[y])
         some = root != node
         return pa.table({"a": root[some], "b": node[some]})
@@ -201,8 +254,8 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, split_rows: int
     """Edges (a < b) between ``rep`` ids that connect all near fingerprints: of each split of each table a star per
     component, so that there are never more edges than rows, however large a group of copies is."""
     n = distinct.count()
-    prefix = min(WIDTH - LOWER, max(2, int(np.ceil(np.log2(max(1, n) / split_rows)))))
-    rows = distinct.mapInArrow(_spread(prefix), f"split bigint, key int, rep bigint, {_FP}")
+    prefix = min(PIECE, max(2, int(np.ceil(np.log2(max(1, n) / split_rows)))))
+    rows = distinct.mapInArrow(_spread(prefix, max_distance), f"split bigint, key int, rep bigint, {_FP}")
     return rows.groupBy("split").applyInArrow(_match(max_distance), "a bigint, b bigint").distinct()
 
 
