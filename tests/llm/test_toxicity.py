@@ -193,3 +193,23 @@ def test_held_out_accuracy(spark):
     recall, false = rows["is_toxic"][toxic].mean(), rows["is_toxic"][~toxic].mean()
     print("toxic found", recall, "clean rejected", false, "of", len(rows), toxic.sum())
     assert recall >= 0.88 and false <= 0.005
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="needs the test tables")
+def test_every_run_of_a_text_counts(spark):
+    """A text is toxic if any run of it is, each scored as a text of its own; the highest counts."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    ix = toxicity.fit(docs, labels)
+    rows = docs.where("doc_id in (262, 361, 2341, 2916, 1, 2)").select("doc_id", "text").orderBy("doc_id").collect()
+    got = toxicity.decided(ix, [r.doc_id for r in rows], [r.text for r in rows])
+    flags = []
+    for r, (score, near, _) in zip(rows, got):
+        w = _words(r.text)
+        runs = [" ".join(w[i : i + toxicity.PASSAGE]) for i in range(max(1, len(w) - toxicity.PASSAGE + 1))]
+        alone = toxicity.score_texts(ix, [r.doc_id] * len(runs), runs)
+        best = max(s for s, _, _ in alone)
+        flags.append(score >= toxicity.THRESHOLD)
+        assert flags[-1] == (best >= toxicity.THRESHOLD) and score <= best + 1e-6 and r.doc_id not in near
+        passage = [s for s, n, _ in alone if n.tolist() == near.tolist()]
+        assert any(abs(s - score) < 1e-6 for s in passage)
+    assert sum(flags) >= 4

@@ -12,8 +12,10 @@ lower confidence bound (``CONFIDENCE`` standard errors) of the term's toxic shar
 logistic fit on the examples' leave-one-out votes calibrates the vote, and nothing else, to a probability.
 
 A text's passage is the run of PASSAGE tokens, of all such runs of the whole text, with the largest sum of associations (a
-small share of the smoothed log-odds added, so that few runs are equal). What else a text holds, however long it is, cannot
-lower its score; and words that go with the label by chance, here and there in a long text, do not add up.
+small share of the smoothed log-odds added, so that few runs are equal). Where its score does not reach the threshold, every
+other run, at every position of the text, is searched too unless its vote is bound to be too low (a vote is at most 1 and the
+associations of its terms); if any reaches the threshold, the highest counts. What else a text holds, however long it is,
+cannot lower its score; and words that go with the label by chance, here and there in a long text, do not add up.
 
 Defined results: labels above 0 are toxic, others clean, null ones ignored; of a doc_id with several texts one is an
 example. Null and empty texts, and texts without any term of the examples, have no neighbours and get the toxic share of
@@ -329,18 +331,73 @@ def fit(documents: DataFrame, labels: DataFrame, bound: int = BOUND, k: int = K)
     return build(vocab, idf, examples, association, k)
 
 
-def score_texts(ix: Index | None, ids: list[int | None], texts: list[str | None]) -> list[tuple[float | None, np.ndarray, np.ndarray]]:
-    """(score, doc_ids of the neighbours, their cosines) of each text."""
-    none = np.zeros(0, dtype=np.int64), np.zeros(0)
-    if ix is None:
-        return [(None, *none)] * len(texts)
-    own = np.zeros((len(texts), 2))
+def _own(ix: Index, ids: list[int | None]) -> tuple[np.ndarray, list[int | None]]:
+    """(examples (clean, toxic) that are the document itself, its doc_id if there are any) of each doc_id."""
+    own = np.zeros((len(ids), 2))
     order = np.argsort(ix.ids, kind="stable")
     sorted_ids = ix.ids[order]
     known = np.array([-1 if i is None else i for i in ids], dtype=np.int64)
     at = np.minimum(np.searchsorted(sorted_ids, known), max(0, len(sorted_ids) - 1))
     mine = np.array([i is not None for i in ids], dtype=bool) & (sorted_ids[at] == known) if len(sorted_ids) else np.zeros(len(ids), dtype=bool)
     own[mine, ix.toxic[order[at[mine]]].astype(np.int64)] = 1
+    return own, [i if m else None for i, m in zip(ids, mine.tolist())]
+
+
+def _least(ix: Index, threshold: float) -> float:
+    """The vote from which the score reaches the threshold."""
+    if ix.fit[0] <= 0 or threshold <= 0:
+        return -np.inf
+    return np.inf if threshold >= 1 else float((np.log(threshold / (1 - threshold)) - ix.fit[1]) / ix.fit[0]) - 1e-9
+
+
+def highest(ix: Index, texts: list[str], own: np.ndarray, skip: list[int | None], threshold: float):
+    """(text, score, neighbours, cosines) of each text's run of PASSAGE tokens with the highest score, for texts where one can
+    reach the threshold. A vote is at most 1 and the associations of its terms, so runs below that are left out unsearched."""
+    least = _least(ix, threshold)
+    for t in textnum.tokenize(texts) if len(ix.vocab) else ():
+        if not len(t.doc):
+            continue
+        toxic, all_ = ix.association.counts(t.hash, own[t.first + t.doc])
+        total = np.concatenate([[0.0], np.cumsum(ix.association.strength(toxic, all_))])
+        last = np.searchsorted(t.doc, t.doc, side="right")
+        end = np.minimum(np.arange(len(t.doc)) + PASSAGE, last)
+        first = np.searchsorted(t.doc, t.doc)
+        run = np.flatnonzero((np.arange(len(t.doc)) <= np.maximum(first, last - PASSAGE)) & (1 + total[end] - total[:-1] >= least))
+        run = run[np.lexsort((run, -np.round(total[end[run]] - total[run], 9), t.doc[run]))]
+        place = np.minimum(np.searchsorted(ix.vocab, t.hash), len(ix.vocab) - 1)
+        known = ix.vocab[place] == t.hash
+        edge = np.append(textnum.runs(t.doc[run]), len(run)).tolist()
+        for a, z in zip(edge[:-1], edge[1:]):
+            j = t.first + int(t.doc[run[a]])
+            best, bar, seen = None, least, set()
+            for i in run[a:z].tolist():
+                if 1 + total[end[i]] - total[i] < bar:
+                    break  # so are all that follow
+                inside = place[i : end[i]][known[i : end[i]]]
+                term, count = np.unique(inside, return_counts=True)
+                strength = _strength(ix, term, None if skip[j] is None else own[j])
+                key = (term.tobytes(), count.tobytes())
+                if not len(term) or 1 + strength.sum() < bar or key in seen:
+                    continue
+                seen.add(key)
+                near, cosine = nearest(ix, term, _weights(ix.idf, term, count), skip[j])
+                if len(near):
+                    votes = vote(ix, near, cosine, term, strength)
+                    score = _score(ix, votes)
+                    if best is None or score > best[1]:
+                        best = j, score, near, cosine
+                        if ix.fit[0] > 0:
+                            bar = max(bar, votes)
+            if best:
+                yield best
+
+
+def score_texts(ix: Index | None, ids: list[int | None], texts: list[str | None]) -> list[tuple[float | None, np.ndarray, np.ndarray]]:
+    """(score, doc_ids of the neighbours, their cosines) of each text's passage."""
+    none = np.zeros(0, dtype=np.int64), np.zeros(0)
+    if ix is None:
+        return [(None, *none)] * len(texts)
+    own, skip = _own(ix, ids)
     doc, h, count = passages(texts, ix.association, own)
     if len(ix.vocab):
         term = np.minimum(np.searchsorted(ix.vocab, h), len(ix.vocab) - 1)
@@ -353,15 +410,28 @@ def score_texts(ix: Index | None, ids: list[int | None], texts: list[str | None]
     for j, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
         near, cosine = none
         if a < z:
-            near, cosine = nearest(ix, term[a:z], _weights(ix.idf, term[a:z], count[a:z]), int(known[j]) if mine[j] else None)
+            near, cosine = nearest(ix, term[a:z], _weights(ix.idf, term[a:z], count[a:z]), skip[j])
         if not len(near):
             out.append((ix.alone, *none))
             continue
-        share = vote(ix, near, cosine, term[a:z], _strength(ix, term[a:z], own[j] if mine[j] else None))
+        share = vote(ix, near, cosine, term[a:z], _strength(ix, term[a:z], None if skip[j] is None else own[j]))
         out.append((_score(ix, share), ix.ids[near], np.round(cosine, 6)))
     return out
 
 
+def decided(ix: Index | None, ids: list[int | None], texts: list[str | None], threshold: float = THRESHOLD) -> list[tuple[float | None, np.ndarray, np.ndarray]]:
+    """The same for whole texts: of the passage, or of the run that reaches the threshold with the highest score where the
+    passage does not."""
+    out = score_texts(ix, ids, texts)
+    if ix is not None and ix.fit[0]:
+        rest = [j for j, f in enumerate(out) if f[0] < threshold]
+        own, skip = _own(ix, [ids[j] for j in rest])
+        for n, score, near, cosine in highest(ix, [texts[j] for j in rest], own, skip, threshold):
+            if score >= threshold:
+                out[rest[n]] = score, ix.ids[near], np.round(cosine, 6)
+    return out
+
+
 def scored(docs: DataFrame, documents: DataFrame, labels: DataFrame, bound: int = BOUND, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
     """A row per document: doc_id, score, is_toxic and the evidence: the examples' doc_ids and cosines."""
     ix = docs.sparkSession.sparkContext.broadcast(fit(documents, labels, bound, k))
@@ -369,7 +439,7 @@ def scored(docs: DataFrame, documents: DataFrame, labels: DataFrame, bound: int
 
     def run(batches):
         for b in batches:
-            found = score_texts(ix.value, b.column("doc_id").to_pylist(), b.column("text").to_pylist())
+            found = decided(ix.value, b.column("doc_id").to_pylist(), b.column("text").to_pylist(), threshold)
             edge = np.cumsum([0] + [len(f[1]) for f in found])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([f[0] for f in found], pa.float64()), pa.array([f[0] is not None and f[0] >= threshold for f in found]), _lists(edge, _cat([f[1] for f in found], np.int64), pa.int64()), _lists(edge, _cat([f[2] for f in found], np.float64), pa.float64())],
@@ -384,7 +454,7 @@ def clean(docs: DataFrame, documents: DataFrame, labels: DataFrame, bound: int =
     ix = docs.sparkSession.sparkContext.broadcast(fit(documents, labels, bound, k))
 
     def change(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = score_texts(ix.value, b.column("doc_id").to_pylist(), b.column("text").to_pylist())
+        found = decided(ix.value, b.column("doc_id").to_pylist(), b.column("text").to_pylist(), threshold)
         return b.filter(pa.array([f[0] is None or f[0] < threshold for f in found], pa.bool_()))
 
     return common.pass_rows(docs, change)
