@@ -1,7 +1,9 @@
 """The pipeline against its stages by brute force on the smallest tables, and on odd rows."""
 
 import os
+import random
 
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -55,6 +57,19 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, tmp_path):
         assert (packed.count() > 0) == (frame is docs)
 
 
+def test_near_copies_at_the_limit_go(spark):
+    """Of pairs of texts 36 to 40 bits apart, with no third text between them, one stays."""
+    rng = random.Random(4)
+    a = [[f"{k}x{rng.randrange(10**6)}" for _ in range(120)] for k in range(900)]
+    b = [[f"{k}y{i}" if rng.random() < 0.08 else w for i, w in enumerate(x)] for k, x in enumerate(a)]
+    a, b = ([" ".join(w) for w in x] for x in (a, b))
+    d = np.bitwise_count(simhash.simhash(a)[1] ^ simhash.simhash(b)[1]).sum(axis=1)
+    some = np.flatnonzero((d >= 36) & (d <= 40)).tolist()
+    assert len(some) > 80
+    docs = spark.createDataFrame([(i, a[i]) for i in some] + [(1000 + i, b[i]) for i in some], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == some
+
+
 def test_every_operator_is_registered():
     found = __spark_entry__.queries()
     assert {k.split("_")[0] for k in found if k.startswith("op")} == {f"op{n}" for n in range(1, 11)} and "pipeline" in found
