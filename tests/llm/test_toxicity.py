@@ -44,6 +44,12 @@ def test_neighbours_equal_a_full_scan(monkeypatch, block, first):
             assert ix.ids[at].tolist() == [i for _, i in want] and np.allclose(cosine, [-s for s, _ in want])
 
 
+@pytest.mark.parametrize("block,first", [(64, 8), (3, 2), (5, 1)])
+def test_neighbours_by_blocks_equal_a_full_scan(monkeypatch, block, first):
+    monkeypatch.setattr(toxicity, "FULL", 0, raising=False)
+    test_neighbours_equal_a_full_scan(monkeypatch, block, first)
+
+
 def _words(text):
     low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     return regex.findall(r"[\p{L}\p{N}\p{M}]+", low)
@@ -213,3 +219,55 @@ def test_every_run_of_a_text_counts(spark):
         passage = [s for s, n, _ in alone if n.tolist() == near.tolist()]
         assert any(abs(s - score) < 1e-6 for s in passage)
     assert sum(flags) >= 4
+
+
+@pytest.mark.parametrize("k,toxic,examples", [(7, 0.1, 200), (7, 0.6, 200), (30, 0.3, 25), (20, 0.2, 21)])
+def test_no_run_that_reaches_the_vote_is_left_unsearched(k, toxic, examples):
+    """Bounds of runs against their votes, over a random index; the text is an example itself, or not."""
+    rng = np.random.default_rng(k)
+    terms = 60
+    vocab = np.arange(terms, dtype=np.uint64)
+    rows = []
+    for i in range(examples):
+        t = np.sort(rng.choice(terms, size=rng.integers(1, 12), replace=False))
+        rows.append((i, int(rng.random() < toxic), t.tolist(), rng.integers(1, 4, len(t)).tolist()))
+    with_it = [sum(y for _, y, t, _ in rows if w in t) for w in range(terms)], [sum(w in t for _, _, t, _ in rows) for w in range(terms)]
+    ix = toxicity.build(vocab, rng.uniform(1, 5, terms), rows, _association(vocab, *(np.array(x, dtype=float) for x in with_it), base=0.05), k)
+    place = rng.integers(-1, terms, 100)
+    begin = np.arange(92)
+    end = begin + rng.integers(1, 9, 92)
+    for own, skip in ((None, None), (np.array([0.0, 1.0]), next(i for i, y, *_ in rows if y))):
+        votes = []
+        for a, z in zip(begin, end):
+            term, count = np.unique(place[a:z][place[a:z] >= 0], return_counts=True)
+            near, cosine = toxicity.nearest(ix, term, toxicity._weights(ix.idf, term, count), skip) if len(term) else ([], [])
+            votes.append(toxicity.vote(ix, near, cosine, term, toxicity._strength(ix, term, own)) if len(near) else -1)
+        votes = np.array(votes)
+        for least in [-1.0, 0.0, *np.quantile(votes, [0.2, 0.5, 0.8, 0.95])]:
+            ok = toxicity._hopeful(ix, place, begin, end, own, skip, least)
+            assert ok[(votes >= least) & (votes >= 0)].all()
+        assert not toxicity._hopeful(ix, place, begin, end, own, skip, 1 + votes.max() + 50).any()
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="needs the test tables")
+def test_few_runs_are_searched_and_none_is_missed(spark, monkeypatch):
+    """Texts whose passage is not toxic: the same results as with every run searched that its associations leave, in few searches."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    ix = toxicity.fit(docs, labels)
+    rows = docs.where("doc_id % 3 = 0 and text is not null").select("doc_id", "text").orderBy("doc_id").collect()
+    passage = toxicity.score_texts(ix, [r.doc_id for r in rows], [r.text for r in rows])
+    rows = [r for r, (s, _, _) in zip(rows, passage) if s < toxicity.THRESHOLD]
+    own, skip = toxicity._own(ix, [r.doc_id for r in rows])
+    nearest, calls = toxicity.nearest, []
+    monkeypatch.setattr(toxicity, "nearest", lambda *x: calls.append(0) or nearest(*x))
+
+    def found():
+        calls.clear()
+        out = toxicity.highest(ix, [r.text for r in rows], own, skip, toxicity.THRESHOLD)
+        return {j: (s, near.tolist()) for j, s, near, _ in out if s >= toxicity.THRESHOLD}, len(calls)
+
+    got, few = found()
+    monkeypatch.setattr(toxicity, "_hopeful", lambda ix, place, begin, *x: np.ones(len(begin), dtype=bool), raising=False)
+    want, many = found()
+    print("texts", len(rows), "toxic", len(want), "searches", many, "now", few)
+    assert got == want and len(want) >= 3 and few < many / 4

@@ -2,9 +2,9 @@
 
 The examples are a sample of at most ``bound`` labelled documents, each stood for by one passage of ``PASSAGE`` tokens.
 Examples are TF-IDF vectors of length 1 over all their terms, none left out; document frequencies are counted over all
-documents. They lie in an inverted index with the largest weight per term and block of examples. A query bounds every
-block by those weights, scores the blocks of the highest bounds, and then those whose bound reaches the kth result so far,
-so its ``k`` neighbours are exact. A neighbour's weight is 1 / (0.05 + cosine distance).
+documents. They lie in an inverted index with the largest weight per term and block of examples. A query scores all examples
+that hold a term of it; of more than ``FULL`` examples it bounds every block by those weights, scores the blocks of the highest
+bounds, and then those whose bound reaches the kth result so far. Either way its ``k`` neighbours are exact. A neighbour's weight is 1 / (0.05 + cosine distance).
 
 The vote is the neighbours' weighted share of toxic ones, plus, for every term of the query that goes with the label, its
 association times the weighted toxic share of those neighbours that hold the term. The association is the logarithm of a
@@ -14,7 +14,8 @@ logistic fit on the examples' leave-one-out votes calibrates the vote, and nothi
 A text's passage is the run of PASSAGE tokens, of all such runs of the whole text, with the largest sum of associations (a
 small share of the smoothed log-odds added, so that few runs are equal). Where its score does not reach the threshold, every
 other run, at every position of the text, is searched too unless its vote is bound to be too low (a vote is at most 1 and the
-associations of its terms); if any reaches the threshold, the highest counts. What else a text holds, however long it is,
+associations of its terms; closer, what the toxic examples that can be neighbours allow); if any reaches the threshold, the
+highest counts. What else a text holds, however long it is,
 cannot lower its score; and words that go with the label by chance, here and there in a long text, do not add up.
 
 Defined results: labels above 0 are toxic, others clean, null ones ignored; of a doc_id with several texts one is an
@@ -41,6 +42,12 @@ BOUND, K, BLOCK, THRESHOLD, PASSAGE = 12_000, 50, 64, 0.5, 64
 CONFIDENCE, SOFT, PRIOR = 3.0, 0.05, 8.0
 #: Blocks that a query scores before it has a kth result to exclude others by.
 FIRST_BLOCKS = 8
+#: Examples up to which a query scores all of them, which is quicker than to bound blocks first.
+FULL = 20_000
+#: Runs up to which searching them is quicker than bounding them.
+FEW = 5
+#: Positions of a text whose runs are bounded together; examples, in multiples of k, whose cosines bound the kth best of all.
+TOGETHER, POOL = 256, 6
 
 
 class Association(NamedTuple):
@@ -116,9 +123,10 @@ def _cat(parts: list, kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
 
 
-def passages(texts: list[str | None], a: Association, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, count), sorted, of each text's passage; ``own`` (clean, toxic) examples of each text to leave out."""
-    docs, terms, counts = [], [], []
+def passages(texts: list[str | None], a: Association, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count), sorted, of each text's passage, and the sum of each passage; ``own`` (clean, toxic) examples of each
+    text to leave out."""
+    docs, terms, counts, value_of = [], [], [], np.zeros(len(texts))
     for t in textnum.tokenize(texts):
         if not len(t.doc):
             continue
@@ -131,6 +139,7 @@ def passages(texts: list[str | None], a: Association, own: np.ndarray | None = N
         value = np.where(i <= room, np.round(total[end] - total[:-1], 9), -1.0)
         some = np.flatnonzero(np.diff(first))
         best = np.maximum.reduceat(value, first[some])
+        value_of[t.first + some] = best
         of = np.cumsum(np.diff(t.doc, prepend=t.doc[0]) > 0)
         hit = np.flatnonzero(value == best[of])
         begin = hit[np.unique(of[hit], return_index=True)[1]]
@@ -139,7 +148,7 @@ def passages(texts: list[str | None], a: Association, own: np.ndarray | None = N
         docs.append(d + t.first)
         terms.append(h)
         counts.append(c)
-    return _cat(docs, np.int64), _cat(terms, np.uint64), _cat(counts, np.int64)
+    return _cat(docs, np.int64), _cat(terms, np.uint64), _cat(counts, np.int64), value_of
 
 
 def _term_labels(batches):
@@ -179,7 +188,7 @@ def _example_passages(a: Association):
     def run(batches):
         for b in batches:
             y = np.array(b.column("y").to_pylist(), dtype=np.int64)
-            doc, term, count = passages(b.column("text").to_pylist(), a, np.stack([1 - y, y], axis=1))
+            doc, term, count, _ = passages(b.column("text").to_pylist(), a, np.stack([1 - y, y], axis=1))
             at = np.searchsorted(doc, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(y), _lists(at, term.view(np.int64)), _lists(at, count)], ["doc_id", "y", "terms", "counts"])
 
@@ -191,8 +200,38 @@ def _weights(idf: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray
     return w / np.sqrt((w * w).sum()) if len(w) else w
 
 
+def _edges(ix: Index, term: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where the postings of each term begin and end."""
+    return ix.start[ix.ptr[term]].tolist(), ix.start[ix.ptr[term + 1]].tolist()
+
+
+def _near(ix: Index, at: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those that reach the kth best score, about."""
+    if len(score) > ix.k:
+        near = np.flatnonzero(score >= np.partition(score, len(score) - ix.k)[len(score) - ix.k] - 1e-8)
+        at, score = at[near], score[near]
+    return at, score
+
+
+def _best(ix: Index, at: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k best, in order."""
+    at, score = _near(ix, at, score)
+    top = np.lexsort((ix.ids[at], -np.round(score, 9)))[: ix.k]
+    return at[top], score[top]
+
+
 def nearest(ix: Index, term: np.ndarray, w: np.ndarray, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(examples, cosines) of the k nearest with a cosine over 0, exact; ``skip`` is a doc_id to leave out."""
+    if len(ix.ids) <= FULL:
+        score = np.zeros(len(ix.ids))
+        for a, z, x in zip(*_edges(ix, term), w.tolist()):
+            score[ix.example[a:z]] += x * ix.weight[a:z]
+        if skip is not None:
+            score[ix.ids == skip] = 0
+        n = len(score)
+        least = np.partition(score, n - ix.k)[n - ix.k] - 1e-8 if n > ix.k else 0
+        at = np.flatnonzero(score >= least if least > 0 else score > 0)
+        return _best(ix, at, score[at])
     entry, which = _ranges(ix.ptr[term], ix.ptr[term + 1])
     block = ix.block[entry]
     blocks = -(-len(ix.ids) // BLOCK)
@@ -209,31 +248,26 @@ def nearest(ix: Index, term: np.ndarray, w: np.ndarray, skip: int | None = None)
         new = np.flatnonzero(score > 0)
         if skip is not None:
             new = new[ix.ids[new] != skip]
-        at, best = np.concatenate([at, new]), np.concatenate([best, score[new]])
-        if len(best) > ix.k:
-            near = np.flatnonzero(best >= np.partition(best, len(best) - ix.k)[len(best) - ix.k] - 1e-8)
-            at, best = at[near], best[near]
+        at, best = _near(ix, np.concatenate([at, new]), np.concatenate([best, score[new]]))
         todo = ~done & (bound > 0)
         if len(best) >= ix.k:
             todo &= bound >= best.min() - 1e-8
         if not todo.any():
             break
-    top = np.lexsort((ix.ids[at], -np.round(best, 9)))[: ix.k]
-    return at[top], best[top]
+    return _best(ix, at, best)
 
 
 def vote(ix: Index, at: np.ndarray, cosine: np.ndarray, term: np.ndarray, strength: np.ndarray) -> float:
     """Of the neighbours ``at`` of a query with these terms (positions in the vocabulary) of these associations."""
     w = 1 / (0.05 + np.maximum(0, 1 - cosine))
     total = float((w * ix.toxic[at]).sum() / w.sum())
-    order = np.argsort(at)
-    at, w = at[order], w[order]
-    for t, s in zip(term[strength > 0].tolist(), strength[strength > 0].tolist()):
-        holds = ix.example[ix.start[ix.ptr[t]] : ix.start[ix.ptr[t + 1]]]
-        i = np.minimum(np.searchsorted(at, holds), len(at) - 1)
-        i = i[at[i] == holds]
-        if len(i):
-            total += s * float((w[i] * ix.toxic[at[i]]).sum() / w[i].sum())
+    some = strength > 0
+    every, toxic = np.zeros((2, len(ix.ids)))
+    every[at], toxic[at] = w, w * ix.toxic[at]
+    for a, z, s in zip(*_edges(ix, term[some]), strength[some].tolist()):
+        holds = ix.example[a:z]
+        if share := toxic[holds].sum():
+            total += s * float(share / every[holds].sum())
     return total
 
 
@@ -350,9 +384,64 @@ def _least(ix: Index, threshold: float) -> float:
     return np.inf if threshold >= 1 else float((np.log(threshold / (1 - threshold)) - ix.fit[1]) / ix.fit[0]) - 1e-9
 
 
+def _hopeful(ix: Index, place: np.ndarray, begin: np.ndarray, end: np.ndarray, own: np.ndarray | None, skip: int | None, least: float) -> np.ndarray:
+    """Which of a text's runs [begin, end) of tokens (positions in the vocabulary, -1 for others) can have a vote of ``least``.
+
+    The kth best cosine with a few examples is at most that with all, so only toxic examples above it can be neighbours. The
+    toxic share is at most theirs, the other neighbours being at least as near as that; and of the terms those alone count
+    that they hold."""
+    ok = np.zeros(len(begin), dtype=bool)
+    low = int(begin.min())
+    term, u = np.unique(place[low : int(end.max())], return_inverse=True)
+    strange = len(term) and term[0] < 0
+    at, run = _ranges(begin - low, end - low)
+    count = np.bincount(run * len(term) + u[at], minlength=len(begin) * len(term)).reshape(len(begin), len(term))
+    if strange:
+        term, count = term[1:], count[:, 1:]
+    strength = _strength(ix, term, own)
+    strong = np.flatnonzero(strength > 0)
+    strength = strength[strong]
+    some = np.flatnonzero(1 + (count[:, strong] > 0) @ strength >= least - 1e-6)
+    if len(some) <= FEW or not len(term):
+        ok[some] = True
+        return ok
+    count = count[some]
+    query = np.append(0, 1 + np.log(np.arange(1, count.max() + 1)))[count] * ix.idf[term]
+    query /= np.maximum(np.sqrt(np.einsum("ij,ij->i", query, query)), 1e-300)[:, None]
+    edge = list(zip(*_edges(ix, term)))
+    example, weight = (np.concatenate([x[a:z] for a, z in edge]) for x in (ix.example, ix.weight))
+    of = np.repeat(np.arange(len(term)), [z - a for a, z in edge])
+    if skip is not None:
+        weight[ix.ids[example] == skip] = 0
+    most = np.bincount(example, weights=query.max(axis=0)[of] * weight, minlength=len(ix.ids))
+
+    def cosines(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        column = np.full(len(ix.ids), -1)
+        column[which] = np.arange(len(which))
+        mine = np.flatnonzero(column[example] >= 0)
+        x = np.zeros((len(term), len(which)))
+        x[of[mine], column[example[mine]]] = weight[mine]
+        return query @ x, x[strong] > 0
+
+    kth = np.zeros(len(some))
+    if len(most) > ix.k:
+        pool = min(len(most), POOL * ix.k)
+        near, _ = cosines(np.argpartition(-most, pool - 1)[:pool])
+        kth = np.maximum(0, np.partition(near, pool - ix.k, axis=1)[:, pool - ix.k] - 1e-8)
+    cosine, holds = cosines(np.flatnonzero((ix.toxic > 0) & (most > 0) & (most >= kth.min())))
+    hit = (cosine >= kth[:, None]) & (cosine > 0)
+    row, column = np.nonzero(hit)
+    toxic = np.bincount(row, weights=1 / (0.05 + np.maximum(0, 1 - cosine[row, column])), minlength=len(some))
+    clean = np.where(kth > 0, np.maximum(0, ix.k - hit.sum(axis=1)) / (0.05 + np.maximum(0, 1 - kth)), 0)
+    held = (hit.astype(np.float32) @ holds.T.astype(np.float32) > 0) & (count[:, strong] > 0)
+    ok[some] = toxic / np.maximum(toxic + clean, 1e-300) + held @ strength >= least - 1e-6
+    return ok
+
+
 def highest(ix: Index, texts: list[str], own: np.ndarray, skip: list[int | None], threshold: float):
     """(text, score, neighbours, cosines) of each text's run of PASSAGE tokens with the highest score, for texts where one can
-    reach the threshold. A vote is at most 1 and the associations of its terms, so runs below that are left out unsearched."""
+    reach the threshold. A vote is at most 1 and the associations of its terms, so runs below that are left out unsearched, and
+    so are those that are not ``_hopeful``."""
     least = _least(ix, threshold)
     for t in textnum.tokenize(texts) if len(ix.vocab) else ():
         if not len(t.doc):
@@ -363,9 +452,18 @@ def highest(ix: Index, texts: list[str], own: np.ndarray, skip: list[int | None]
         end = np.minimum(np.arange(len(t.doc)) + PASSAGE, last)
         first = np.searchsorted(t.doc, t.doc)
         run = np.flatnonzero((np.arange(len(t.doc)) <= np.maximum(first, last - PASSAGE)) & (1 + total[end] - total[:-1] >= least))
+        inside = np.flatnonzero(np.cumsum(np.bincount(run, minlength=len(t.doc) + 1) - np.bincount(end[run], minlength=len(t.doc) + 1))[:-1])
+        place = np.full(len(t.doc), -1)
+        place[inside] = np.minimum(np.searchsorted(ix.vocab, t.hash[inside]), len(ix.vocab) - 1)
+        place[inside[ix.vocab[place[inside]] != t.hash[inside]]] = -1
+        if ix.fit[0] > 0 and len(run):
+            cut = np.append(textnum.runs(t.doc[run] * len(t.doc) + run // TOGETHER), len(run)).tolist()
+            keep = []
+            for a, z in zip(cut[:-1], cut[1:]):
+                j = t.first + int(t.doc[run[a]])
+                keep.append(_hopeful(ix, place, run[a:z], end[run[a:z]], None if skip[j] is None else own[j], skip[j], least))
+            run = run[np.concatenate(keep)]
         run = run[np.lexsort((run, -np.round(total[end[run]] - total[run], 9), t.doc[run]))]
-        place = np.minimum(np.searchsorted(ix.vocab, t.hash), len(ix.vocab) - 1)
-        known = ix.vocab[place] == t.hash
         edge = np.append(textnum.runs(t.doc[run]), len(run)).tolist()
         for a, z in zip(edge[:-1], edge[1:]):
             j = t.first + int(t.doc[run[a]])
@@ -373,8 +471,8 @@ def highest(ix: Index, texts: list[str], own: np.ndarray, skip: list[int | None]
             for i in run[a:z].tolist():
                 if 1 + total[end[i]] - total[i] < bar:
                     break  # so are all that follow
-                inside = place[i : end[i]][known[i : end[i]]]
-                term, count = np.unique(inside, return_counts=True)
+                inside = place[i : end[i]]
+                term, count = np.unique(inside[inside >= 0], return_counts=True)
                 strength = _strength(ix, term, None if skip[j] is None else own[j])
                 key = (term.tobytes(), count.tobytes())
                 if not len(term) or 1 + strength.sum() < bar or key in seen:
@@ -394,11 +492,16 @@ def highest(ix: Index, texts: list[str], own: np.ndarray, skip: list[int | None]
 
 def score_texts(ix: Index | None, ids: list[int | None], texts: list[str | None]) -> list[tuple[float | None, np.ndarray, np.ndarray]]:
     """(score, doc_ids of the neighbours, their cosines) of each text's passage."""
+    return _scored_passages(ix, ids, texts)[0]
+
+
+def _scored_passages(ix: Index | None, ids: list[int | None], texts: list[str | None]) -> tuple[list[tuple[float | None, np.ndarray, np.ndarray]], np.ndarray]:
+    """The same, and each passage's sum, which no run's associations exceed."""
     none = np.zeros(0, dtype=np.int64), np.zeros(0)
     if ix is None:
-        return [(None, *none)] * len(texts)
+        return [(None, *none)] * len(texts), np.zeros(len(texts))
     own, skip = _own(ix, ids)
-    doc, h, count = passages(texts, ix.association, own)
+    doc, h, count, value = passages(texts, ix.association, own)
     if len(ix.vocab):
         term = np.minimum(np.searchsorted(ix.vocab, h), len(ix.vocab) - 1)
         ok = ix.vocab[term] == h
@@ -416,15 +519,15 @@ def score_texts(ix: Index | None, ids: list[int | None], texts: list[str | None]
             continue
         share = vote(ix, near, cosine, term[a:z], _strength(ix, term[a:z], None if skip[j] is None else own[j]))
         out.append((_score(ix, share), ix.ids[near], np.round(cosine, 6)))
-    return out
+    return out, value
 
 
 def decided(ix: Index | None, ids: list[int | None], texts: list[str | None], threshold: float = THRESHOLD) -> list[tuple[float | None, np.ndarray, np.ndarray]]:
     """The same for whole texts: of the passage, or of the run that reaches the threshold with the highest score where the
     passage does not."""
-    out = score_texts(ix, ids, texts)
+    out, value = _scored_passages(ix, ids, texts)
     if ix is not None and ix.fit[0]:
-        rest = [j for j, f in enumerate(out) if f[0] < threshold]
+        rest = [j for j, f in enumerate(out) if f[0] < threshold and 1 + value[j] >= _least(ix, threshold) - 1e-6]
         own, skip = _own(ix, [ids[j] for j in rest])
         for n, score, near, cosine in highest(ix, [texts[j] for j in rest], own, skip, threshold):
             if score >= threshold:
