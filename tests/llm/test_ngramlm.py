@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,6 +41,43 @@ def test_elias_fano_ranges_and_files(tmp_path):
     assert ngramlm._successors(back["s"], to, node, id_).tolist() == [1, -1, 3, 6, 8, -1, -1]
 
 
+def test_elias_fano_across_words():
+    """Runs of ones and of zeros longer than a word of 64 bits: the next bit is found where it lies in another word."""
+    v = np.concatenate([np.arange(1000), [10**6, 10**6 + 1, 10**6 + 700], np.arange(1999000, 1999900), [2 * 10**6]])
+    s = eliasfano.build(v)
+    one, two = eliasfano.get_two(s, np.arange(len(v) - 1))
+    assert one.tolist() == v[:-1].tolist() and two.tolist() == v[1:].tolist()
+    asked = np.unique(np.concatenate([v, v + 1, v + 2, [500_000, 1 << 40]]))
+    at = {x: i for i, x in enumerate(v.tolist())}
+    assert eliasfano.find(s, asked).tolist() == [at.get(x, -1) for x in asked.tolist()]
+
+
+def test_few_words_are_selected(spark, monkeypatch):
+    """Like pairs are looked up once, and the place of a run's end is read off beside its beginning."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(200)], weights=[1 / (i + 1) for i in range(200)], k=60)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    m, unknown = ngramlm.fit(docs, 1)
+    selected, plain = [], eliasfano._select_in_word
+    monkeypatch.setattr(eliasfano, "_select_in_word", lambda word, r: selected.append(len(word)) or plain(word, r))
+    ((_, h, doc),) = ngramlm._flushes([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})])
+    ngramlm.log_probabilities(m, unknown, h, doc)
+    assert len(h) == 12_000 and sum(selected) < 4 * len(h)
+
+
+@pytest.mark.parametrize("top", [100, 1 << 30])
+def test_merged_blocks_equal_a_counter(top):
+    """Also with ids of which three do not fit a number of 64 bits."""
+    rng = np.random.default_rng(7)
+    blocks = [np.unique(top - rng.integers(0, 12, (300, 3)), axis=0).T.astype(np.uint32) for _ in range(5)]
+    counts = [rng.integers(1, 9, b.shape[1]).astype(np.uint32) for b in blocks]
+    want = Counter()
+    for b, n in zip(blocks, counts):
+        want.update(dict(zip(zip(*b.tolist()), n.tolist())))
+    a, b, c, n = ngramlm._merged([[*b, n] for b, n in zip(blocks, counts)], top)
+    assert list(zip(zip(a.tolist(), b.tolist(), c.tolist()), n.tolist())) == sorted(want.items())
+
+
 def brute(texts):
     """Bits per token by dictionaries, with the same rounding to eighths of a bit."""
     q = lambda p: 2.0 ** (-min(255, max(0, round(-8 * math.log2(max(p, 1e-12))))) / 8)

@@ -1,7 +1,8 @@
 """Elias-Fano sequences over numpy arrays, so that they can be memory-mapped and queried in bulk.
 
 A non-decreasing sequence of n values below u keeps the low bits of each value packed, and the high bits in unary: bit
-(v >> low) + i is set for the i-th value v. A rank per 64-bit word finds ones and zeros by binary search.
+(v >> low) + i is set for the i-th value v. The ones and the zeros before each 64-bit word are kept beside, so that either
+is found by binary search; within a word, counts of its bytes and a table of bytes lead to the bit.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from typing import NamedTuple
 
 import numpy as np
 
-_ONE = np.uint64(1)
+#: In each byte a one, and the top bit; the position of the r-th one of byte b at 8 b + r.
+_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[r] for b in range(256) for r in range(8)], dtype=np.uint8)
 
 
 def _u(x) -> np.ndarray:
@@ -25,9 +28,7 @@ class Sequence(NamedTuple):
     low: np.ndarray
     high: np.ndarray
     rank: np.ndarray  # ones before each word, and all ones
-
-    def zeros(self) -> np.ndarray:
-        return np.arange(len(self.rank), dtype=np.int64) * 64 - self.rank
+    zeros: np.ndarray  # zeros before each word, and all zeros
 
 
 def build(values: np.ndarray) -> Sequence:
@@ -53,74 +54,107 @@ def build(values: np.ndarray) -> Sequence:
     high = np.packbits(bits, bitorder="little").view(np.uint64)
     rank = np.zeros(len(high) + 1, dtype=np.int64)
     np.cumsum(np.bitwise_count(high), out=rank[1:])
-    return Sequence(n, low_bits, low, high, rank.astype(np.uint32) if n < 1 << 32 else rank)
+    kind = np.uint32 if len(bits) < 1 << 32 else np.int64
+    return Sequence(n, low_bits, low, high, rank.astype(kind), (np.arange(len(rank)) * 64 - rank).astype(kind))
 
 
 def _select_in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Position of the r-th one (from 0) of each word."""
-    word, r, at = word.copy(), r.astype(np.int64), np.zeros(len(word), dtype=np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count(word & _u((1 << width) - 1)).astype(np.int64)
-        go = r >= ones
-        r -= np.where(go, ones, 0)
-        at += np.where(go, width, 0)
-        word = np.where(go, word >> _u(width), word)
-    return at
+    """Position of the r-th one (from 0) of each word, which has more ones than that."""
+    r = _u(r)
+    upto = np.bitwise_count(word.view(np.uint8)).view(np.uint64) * _ONES  # in each byte, the ones of it and of the lower ones
+    shift = _u(np.bitwise_count(((r * _ONES | _TOPS) - upto) & _TOPS)) << _u(3)  # bytes that end before that one
+    r -= (upto << _u(8)) >> shift & _u(255)
+    return (shift + _IN_BYTE[(((word >> shift) & _u(255)) << _u(3)) | r]).astype(np.int64)
+
+
+def _select(count: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The word that holds the k-th of what ``count`` counts."""
+    return np.searchsorted(count, k.astype(count.dtype), side="right") - 1  # of like type, or all counts would be converted
+
+
+def _ones_below_first(word: np.ndarray) -> np.ndarray:
+    """Position of the lowest one of each word; 64 if there is none."""
+    return np.bitwise_count((word & (~word + _u(1))) - _u(1)).astype(np.int64)
 
 
 def _low(s: Sequence, i: np.ndarray) -> np.ndarray:
     if not s.low_bits:
         return np.zeros(len(i), dtype=np.uint64)
     bit = i.astype(np.int64) * s.low_bits
-    at, shift = bit >> 6, _u(bit & 63)
-    x = s.low[at] >> shift
-    over = (bit & 63) + s.low_bits > 64
-    x = np.where(over, x | (s.low[at + 1] << ((_u(64) - shift) & _u(63))), x)
+    at, shift = bit >> 6, bit & 63
+    x = s.low[at] >> _u(shift)
+    over = np.flatnonzero(shift + s.low_bits > 64)
+    x[over] |= s.low[at[over] + 1] << _u(64 - shift[over])
     return x & _u((1 << s.low_bits) - 1)
 
 
+def _value(s: Sequence, i: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values at positions i, whose bits are ``at``."""
+    return ((_u(at - i) << _u(s.low_bits)) | _low(s, i)).astype(np.int64)
+
+
+def _bit(s: Sequence, i: np.ndarray) -> np.ndarray:
+    word = _select(s.rank, i)
+    return word * 64 + _select_in_word(s.high[word], i - s.rank[word].astype(np.int64))
+
+
 def get(s: Sequence, i: np.ndarray) -> np.ndarray:
     """The values at positions i."""
     i = np.asarray(i, dtype=np.int64)
     if not len(i):
         return np.zeros(0, dtype=np.int64)
-    word = np.searchsorted(s.rank, i, side="right") - 1
-    high = word * 64 + _select_in_word(s.high[word], i - s.rank[word].astype(np.int64)) - i
-    return ((_u(high) << _u(s.low_bits)) | _low(s, i)).astype(np.int64)
+    return _value(s, i, _bit(s, i))
 
 
-def _below(s: Sequence, zeros: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """How many values have high bits below h."""
-    out = np.zeros(len(h), dtype=np.int64)
+def get_two(s: Sequence, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values at positions i and i + 1."""
+    i = np.asarray(i, dtype=np.int64)
+    if not len(i):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    at = _bit(s, i)
+    rest = s.high[at >> 6] >> _u(at & 63) >> _u(1)
+    after = at + 1 + _ones_below_first(rest)
+    far = np.flatnonzero(rest == 0)  # the next one is in another word
+    after[far] = _bit(s, i[far] + 1)
+    return _value(s, i, at), _value(s, i + 1, after)
+
+
+def _run(s: Sequence, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values with high bits h begin and end."""
+    h = np.minimum(h, int(s.zeros[-1]) - 1)  # two zeros at least end the bits, so nothing lies between the last two
+
+    def end(k: np.ndarray) -> np.ndarray:  # the bit of the k-th zero
+        word = _select(s.zeros, k)
+        return word * 64 + _select_in_word(~s.high[word], k - s.zeros[word].astype(np.int64))
+
+    # the zero that ends run h-1 is where run h begins
+    first = np.zeros(len(h), dtype=np.int64)
     some = np.flatnonzero(h > 0)
-    k = np.minimum(h[some], zeros[-1]) - 1
-    word = np.searchsorted(zeros, k, side="right") - 1
-    at = word * 64 + _select_in_word(~s.high[word], k - zeros[word])
-    out[some] = np.minimum(at - k, s.n)
-    return out
+    first[some] = end(h[some] - 1) + 1
+    rest = ~s.high[first >> 6] >> _u(first & 63)
+    last = first + _ones_below_first(rest)
+    far = np.flatnonzero(rest == 0)
+    last[far] = end(h[far])
+    return first - h, last - h
 
 
-def find(s: Sequence, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None, zeros: np.ndarray | None = None) -> np.ndarray:
-    """Position of each x in its part [lo, hi) of the sequence, found as its successor; -1 where it is not there."""
+def find(s: Sequence, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+    """Position of each x in its part [lo, hi) of the sequence, found as the last value up to it; -1 where it is not there."""
     x = np.asarray(x, dtype=np.int64)
     if not len(x) or not s.n:
         return np.full(len(x), -1, dtype=np.int64)
-    zeros = s.zeros() if zeros is None else zeros
-    h = x >> s.low_bits
-    # the zero that ends run h-1 is where run h begins
-    a, z = _below(s, zeros, h), _below(s, zeros, h + 1)
+    a, z = _run(s, x >> s.low_bits)
     if lo is not None:
         a, z = np.maximum(a, lo), np.minimum(z, hi)
     want = _u(x) & _u((1 << s.low_bits) - 1)
-    end = z.copy()
-    live = np.flatnonzero(a < z)
+    ok = np.flatnonzero(a < z)
+    live = np.flatnonzero(a + 1 < z)
     while len(live):
         mid = (a[live] + z[live]) >> 1
-        less = _low(s, mid) < want[live]
-        a[live] = np.where(less, mid + 1, a[live])
-        z[live] = np.where(less, z[live], mid)
-        live = live[a[live] < z[live]]
-    ok = np.flatnonzero(a < end)
+        more = _low(s, mid) > want[live]
+        a[live] = np.where(more, a[live], mid)
+        z[live] = np.where(more, mid, z[live])
+        live = live[a[live] + 1 < z[live]]
     ok = ok[_low(s, a[ok]) == want[ok]]
     out = np.full(len(x), -1, dtype=np.int64)
     out[ok] = a[ok]
@@ -134,7 +168,7 @@ def save(path: str, arrays: dict[str, np.ndarray | Sequence]) -> None:
     for k, a in arrays.items():
         if isinstance(a, Sequence):
             head[k] = {"n": a.n, "low_bits": a.low_bits}
-            flat |= {f"{k}.{p}": getattr(a, p) for p in ("low", "high", "rank")}
+            flat |= {f"{k}.{p}": getattr(a, p) for p in ("low", "high", "rank", "zeros")}
         else:
             flat[k] = np.asarray(a)
     at = 0
@@ -160,7 +194,7 @@ def load(path: str) -> dict[str, np.ndarray | Sequence]:
     out: dict[str, np.ndarray | Sequence] = {}
     for k, h in head.items():
         if "n" in h:
-            out[k] = Sequence(h["n"], h["low_bits"], *(array(head[f"{k}.{p}"]) for p in ("low", "high", "rank")))
+            out[k] = Sequence(h["n"], h["low_bits"], *(array(head[f"{k}.{p}"]) for p in ("low", "high", "rank", "zeros")))
         elif k.rpartition(".")[0] not in head:
             out[k] = array(h)
     return out

@@ -110,8 +110,7 @@ def _write_words(folder: str, tokens: int):
 
 @functools.lru_cache(maxsize=4096)
 def _load(path: str) -> dict:
-    found = eliasfano.load(path)
-    return found | {f"{k}.zeros": s.zeros() for k, s in found.items() if isinstance(s, eliasfano.Sequence) and k in ("words", "a")}
+    return eliasfano.load(path)
 
 
 def word_ids(m: Model, hashes: np.ndarray) -> np.ndarray:
@@ -124,7 +123,7 @@ def word_ids(m: Model, hashes: np.ndarray) -> np.ndarray:
         a, z = edge[p], edge[p + 1]
         if a < z and m.bases[p] < m.bases[p + 1]:
             f = _load(f"{m.folder}/words-{p}")
-            at = eliasfano.find(f["words"], hashes[a:z].astype(np.int64), zeros=f["words.zeros"])
+            at = eliasfano.find(f["words"], hashes[a:z].astype(np.int64))
             out[a:z] = np.where(at >= 0, at + m.bases[p], m.bases[-1])
     return out
 
@@ -142,6 +141,11 @@ def by_word(m: Model, ids: np.ndarray, prefix: str, key: str, unknown) -> np.nda
     return out
 
 
+def _by_number(of: np.ndarray, below: int) -> np.ndarray:
+    """The order of small numbers, like ones in their order; up to 16 bits numpy counts instead of comparing."""
+    return np.argsort(of.astype(np.min_scalar_type(below)), kind="stable")
+
+
 def split_of(m: Model, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (textnum.mix((a.astype(np.uint64) << np.uint64(32)) ^ b.astype(np.uint64)) % np.uint64(m.splits)).astype(np.int64)
 
@@ -202,7 +206,7 @@ def _trigrams(m: Model):
             a, b, c = ids[a], ids[b], ids[c]
             split = split_of(m, a, b)
             split[both] = split_of_three(m, a[both], b[both], c[both])
-            order = np.argsort(split, kind="stable")
+            order = _by_number(split, m.splits)
             a, b, c, count, split = a[order], b[order], c[order], count[order], split[order]
             edge = np.append(textnum.runs(split), len(split))
             blobs = [_ship([a[i:j], b[i:j], c[i:j], count[i:j]]) for i, j in zip(edge[:-1], edge[1:])]
@@ -230,8 +234,16 @@ def _merged(parts: list[list[np.ndarray]], top: int) -> tuple[np.ndarray, np.nda
         key = (a.astype(np.int64) << (2 * bits)) | (b.astype(np.int64) << bits) | c
         order = np.argsort(key, kind="stable")
         del key
-    else:
-        order = np.lexsort((c, b, a))
+    else:  # pairs first, then their numbers and c
+        pair = pair_key(a, b)
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        key = np.zeros(len(pair), dtype=np.int64)
+        np.cumsum(pair[1:] != pair[:-1], out=key[1:])
+        del pair
+        key = (key << 31) | c[order]
+        order = order[np.argsort(key, kind="stable")]
+        del key
     a, b, c = a[order], b[order], c[order]
     count = count[order].astype(np.int64)
     del order
@@ -409,18 +421,37 @@ def _backoff(m: Model, words: np.ndarray, unknown: float) -> np.ndarray:
     return _VALUE[out]
 
 
+def _once(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each run of rows with like keys begins, how many rows it has): what is looked up of a run is looked up once."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = functools.reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])
+    first = np.flatnonzero(new)
+    return first, np.diff(first, append=len(new))
+
+
 def _successors(level: eliasfano.Sequence, to: eliasfano.Sequence, node: np.ndarray, id_: np.ndarray) -> np.ndarray:
     """Position in ``level`` of each id among the successors of its node; -1 where it is none."""
-    lo, hi = eliasfano.get(to, node), eliasfano.get(to, node + 1)
-    base = np.zeros(len(node), dtype=np.int64)
+    first, size = _once(node)
+    lo, hi = eliasfano.get_two(to, node[first])
+    base = np.zeros(len(lo), dtype=np.int64)
     some = np.flatnonzero(lo > 0)
     base[some] = eliasfano.get(level, lo[some] - 1)
-    return eliasfano.find(level, base + id_, lo, hi)
+    return eliasfano.find(level, np.repeat(base, size) + id_, np.repeat(lo, size), np.repeat(hi, size))
+
+
+def _pairs(f: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Position of each pair in the second level of a split; -1 where it is none."""
+    first, size = _once(a)
+    node = np.repeat(eliasfano.find(f["a"], a[first]), size)
+    out = np.full(len(a), -1, dtype=np.int64)
+    some = np.flatnonzero(node >= 0)
+    out[some] = _successors(f["b"], f["to2"], node[some], b[some])
+    return out
 
 
 def _by_split(m: Model, kind: str, split: np.ndarray):
     """(rows, file) of each split that has a file, the rows of each in order."""
-    order = np.argsort(split, kind="stable")
+    order = _by_number(split, m.splits)
     edge = np.append(textnum.runs(split[order]), len(split))
     for i, j in zip(edge[:-1], edge[1:]):
         k = int(split[order[i]])
@@ -429,16 +460,15 @@ def _by_split(m: Model, kind: str, split: np.ndarray):
 
 
 def pair_values(m: Model, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each (a, b) and the c after it (-1: none): q2(a b), b3(a b) or 1, q3(a b c)."""
+    """For each (a, b) and the c after it (-1: none): q2(a b), b3(a b) or 1, q3(a b c). Like pairs should be neighbours."""
     n = len(a)
     q2, b3, q3 = np.zeros(n), np.ones(n), np.zeros(n)
     hot = np.isin(a, m.hot) & np.isin(b, m.hot) if len(m.hot) else np.zeros(n, dtype=bool)
     cold = np.flatnonzero(~hot)
     for at, f in _by_split(m, "split", split_of(m, a[cold], b[cold])):
         rows = cold[at]
-        node = eliasfano.find(f["a"], a[rows], zeros=f["a.zeros"])
-        rows, node = rows[node >= 0], node[node >= 0]
-        pos = _successors(f["b"], f["to2"], node, b[rows])
+        first, size = _once(a[rows], b[rows])
+        pos = np.repeat(_pairs(f, a[rows[first]], b[rows[first]]), size)
         rows, pos = rows[pos >= 0], pos[pos >= 0]
         q2[rows], b3[rows] = _VALUE[f["q2"][pos]], _VALUE[f["b3"][pos]]
         some = np.flatnonzero(c[rows] >= 0)
@@ -476,7 +506,7 @@ def log_probabilities(m: Model, unknown: float, h: np.ndarray, doc: np.ndarray)
     has = np.flatnonzero(two + 2 < len(w))
     has = has[doc[two[has] + 2] == doc[two[has]]]
     after[has] = ids[w[two[has] + 2]]
-    order = np.argsort(key, kind="stable")  # like pairs and their neighbours lie close in the levels
+    order = np.argsort(key)  # like pairs and their neighbours lie close in the levels
     q2, b3, q3 = (np.empty(len(two)) for _ in range(3))
     q2[order], b3[order], q3[order] = pair_values(m, ids[w[two[order]]], ids[w[two[order] + 1]], after[order])
     p[two + 1] = q2 + b2[w[two]] * p1[w[two + 1]]
