@@ -65,6 +65,19 @@ def test_few_words_are_selected(spark, monkeypatch):
     assert len(h) == 12_000 and sum(selected) < 4 * len(h)
 
 
+def test_blocks_of_any_size_score_alike(spark, monkeypatch):
+    """With many splits and common pairs; a block of the query is larger than what a task counts at once."""
+    monkeypatch.setattr(ngramlm, "SPLIT_TOKENS", 200)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(99)], weights=[1 / (i + 1) for i in range(99)], k=rng.randrange(1, 60))) for _ in range(99)] + ["", "one"]
+    m, unknown = ngramlm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 2)
+    assert m.splits > 10 and len(m.hot) and m.made["after"]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]}) for i, t in enumerate(texts)]
+    found = [[ngramlm.log_probabilities(m, unknown, h, doc) for _, h, doc in ngramlm._flushes(batches, size)] for size in (1, 500, ngramlm.BLOCK)]
+    assert [len(x) for x in found][2] == 1 < len(found[1]) < len(found[0]) and ngramlm.BLOCK > ngramlm.FLUSH
+    assert np.concatenate(found[0]).tolist() == np.concatenate(found[1]).tolist() == found[2][0].tolist()
+
+
 @pytest.mark.parametrize("top", [100, 1 << 30])
 def test_merged_blocks_equal_a_counter(top):
     """Also with ids of which three do not fit a number of 64 bits."""

@@ -58,44 +58,53 @@ def build(values: np.ndarray) -> Sequence:
     return Sequence(n, low_bits, low, high, rank.astype(kind), (np.arange(len(rank)) * 64 - rank).astype(kind))
 
 
+def where(true: np.ndarray) -> np.ndarray:
+    """As np.flatnonzero, which takes longer to call than to answer where a look-up is small."""
+    return true.nonzero()[0]
+
+
 def _select_in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Position of the r-th one (from 0) of each word, which has more ones than that."""
-    r = _u(r)
+    r = r.astype(np.uint64)
     upto = np.bitwise_count(word.view(np.uint8)).view(np.uint64) * _ONES  # in each byte, the ones of it and of the lower ones
-    shift = _u(np.bitwise_count(((r * _ONES | _TOPS) - upto) & _TOPS)) << _u(3)  # bytes that end before that one
-    r -= (upto << _u(8)) >> shift & _u(255)
-    return (shift + _IN_BYTE[(((word >> shift) & _u(255)) << _u(3)) | r]).astype(np.int64)
+    shift = np.bitwise_count(((r * _ONES | _TOPS) - upto) & _TOPS).astype(np.uint64) << 3  # bytes that end before that one
+    r -= (upto << 8) >> shift & 255
+    return (shift + _IN_BYTE[(((word >> shift) & 255) << 3) | r]).astype(np.int64)
 
 
 def _select(count: np.ndarray, k: np.ndarray) -> np.ndarray:
     """The word that holds the k-th of what ``count`` counts."""
-    return np.searchsorted(count, k.astype(count.dtype), side="right") - 1  # of like type, or all counts would be converted
+    return count.searchsorted(k.astype(count.dtype), side="right") - 1  # of like type, or all counts would be converted
 
 
 def _ones_below_first(word: np.ndarray) -> np.ndarray:
     """Position of the lowest one of each word; 64 if there is none."""
-    return np.bitwise_count((word & (~word + _u(1))) - _u(1)).astype(np.int64)
+    return np.bitwise_count((word & (~word + 1)) - 1).astype(np.int64)
 
 
 def _low(s: Sequence, i: np.ndarray) -> np.ndarray:
     if not s.low_bits:
-        return np.zeros(len(i), dtype=np.uint64)
-    bit = i.astype(np.int64) * s.low_bits
+        return np.zeros(len(i), dtype=np.int64)
+    low = s.low.view(np.int64)
+    bit = i * s.low_bits
     at, shift = bit >> 6, bit & 63
-    x = s.low[at] >> _u(shift)
-    over = np.flatnonzero(shift + s.low_bits > 64)
-    x[over] |= s.low[at[over] + 1] << _u(64 - shift[over])
-    return x & _u((1 << s.low_bits) - 1)
+    x = low[at] >> shift
+    over = where(shift > 64 - s.low_bits)
+    if len(over):  # the rest of these is in the next word; shifting has spread the sign
+        rest = 64 - shift[over]
+        x[over] = x[over] & ((1 << rest) - 1) | low[at[over] + 1] << rest
+    x &= (1 << s.low_bits) - 1
+    return x
 
 
 def _value(s: Sequence, i: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The values at positions i, whose bits are ``at``."""
-    return ((_u(at - i) << _u(s.low_bits)) | _low(s, i)).astype(np.int64)
+    return (at - i) << s.low_bits | _low(s, i)
 
 
 def _bit(s: Sequence, i: np.ndarray) -> np.ndarray:
     word = _select(s.rank, i)
-    return word * 64 + _select_in_word(s.high[word], i - s.rank[word].astype(np.int64))
+    return word * 64 + _select_in_word(s.high[word], i - s.rank[word])
 
 
 def get(s: Sequence, i: np.ndarray) -> np.ndarray:
@@ -112,10 +121,11 @@ def get_two(s: Sequence, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(i):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     at = _bit(s, i)
-    rest = s.high[at >> 6] >> _u(at & 63) >> _u(1)
+    rest = s.high[at >> 6] >> (at & 63).astype(np.uint64) >> 1
     after = at + 1 + _ones_below_first(rest)
-    far = np.flatnonzero(rest == 0)  # the next one is in another word
-    after[far] = _bit(s, i[far] + 1)
+    far = where(rest == 0)  # the next one is in another word
+    if len(far):
+        after[far] = _bit(s, i[far] + 1)
     return _value(s, i, at), _value(s, i + 1, after)
 
 
@@ -125,16 +135,17 @@ def _run(s: Sequence, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     def end(k: np.ndarray) -> np.ndarray:  # the bit of the k-th zero
         word = _select(s.zeros, k)
-        return word * 64 + _select_in_word(~s.high[word], k - s.zeros[word].astype(np.int64))
+        return word * 64 + _select_in_word(~s.high[word], k - s.zeros[word])
 
     # the zero that ends run h-1 is where run h begins
     first = np.zeros(len(h), dtype=np.int64)
-    some = np.flatnonzero(h > 0)
+    some = where(h > 0)
     first[some] = end(h[some] - 1) + 1
-    rest = ~s.high[first >> 6] >> _u(first & 63)
+    rest = ~s.high[first >> 6] >> (first & 63).astype(np.uint64)
     last = first + _ones_below_first(rest)
-    far = np.flatnonzero(rest == 0)
-    last[far] = end(h[far])
+    far = where(rest == 0)
+    if len(far):
+        last[far] = end(h[far])
     return first - h, last - h
 
 
@@ -146,15 +157,18 @@ def find(s: Sequence, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarra
     a, z = _run(s, x >> s.low_bits)
     if lo is not None:
         a, z = np.maximum(a, lo), np.minimum(z, hi)
-    want = _u(x) & _u((1 << s.low_bits) - 1)
-    ok = np.flatnonzero(a < z)
-    live = np.flatnonzero(a + 1 < z)
+    want = x & ((1 << s.low_bits) - 1)
+    ok = where(a < z)
+    live = where(a + 1 < z)
+    lower, upper, sought = a[live], z[live], want[live]
     while len(live):
-        mid = (a[live] + z[live]) >> 1
-        more = _low(s, mid) > want[live]
-        a[live] = np.where(more, a[live], mid)
-        z[live] = np.where(more, mid, z[live])
-        live = live[a[live] + 1 < z[live]]
+        mid = (lower + upper) >> 1
+        more = _low(s, mid) > sought
+        lower, upper = np.where(more, lower, mid), np.where(more, mid, upper)
+        on = lower + 1 < upper
+        if 2 * np.count_nonzero(on) <= len(live):  # to go on with those that are found changes nothing
+            a[live] = lower
+            live, lower, upper, sought = live[on], lower[on], upper[on], sought[on]
     ok = ok[_low(s, a[ok]) == want[ok]]
     out = np.full(len(x), -1, dtype=np.int64)
     out[ok] = a[ok]

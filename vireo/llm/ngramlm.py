@@ -44,6 +44,8 @@ from vireo.llm import common, eliasfano, textnum
 DISCOUNT, MIN_COUNT = 0.75, 2
 #: Tokens that a task holds at once, that a split of the trie covers, and words of a vocabulary file, about.
 FLUSH, SPLIT_TOKENS, FILE_WORDS = 1_000_000, 4_000_000, 500_000
+#: Tokens that are looked up at once: each block calls on every split, and few tokens a call cost the most.
+BLOCK = 2_000_000
 
 
 class Model(NamedTuple):
@@ -62,24 +64,26 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.clip(np.round(-8 * np.log2(np.maximum(p, 1e-12))), 0, 255).astype(np.uint8)
 
 
-_VALUE = 2.0 ** (-np.arange(256) / 8)
+#: What a code stands for; beyond the codes of ``quantise`` there is one for no mass at all.
+_NONE = 256
+_VALUE = np.append(2.0 ** (-np.arange(256) / 8), 0.0)
 
 
-def _flushes(batches):
-    """(batches' doc ids, texts' token hashes, text of each token) until FLUSH tokens are together."""
+def _flushes(batches, size: int | None = None):
+    """(batches' doc ids, texts' token hashes, text of each token) until ``size`` tokens (FLUSH) are together."""
     ids, hashes, docs, n, rows = [], [], [], 0, 0
     for b in batches:
         ids += b.column("doc_id").to_pylist()
         for t in textnum.tokenize(b.column("text").to_pylist()):
             hashes.append(t.hash >> np.uint64(1))
-            docs.append(t.doc + (t.first + rows))
+            docs.append((t.doc + (t.first + rows)).astype(np.int32))
             n += len(t.hash)
         rows += b.num_rows
-        if n >= FLUSH:
+        if n >= (size or FLUSH):
             yield ids, np.concatenate(hashes), np.concatenate(docs)
             ids, hashes, docs, n, rows = [], [], [], 0, 0
     if rows:
-        yield ids, np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *docs])
+        yield ids, np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int32), *docs])
 
 
 def _word_counts(batches):
@@ -425,8 +429,11 @@ def _once(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(where each run of rows with like keys begins, how many rows it has): what is looked up of a run is looked up once."""
     new = np.ones(len(keys[0]), dtype=bool)
     new[1:] = functools.reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])
-    first = np.flatnonzero(new)
-    return first, np.diff(first, append=len(new))
+    first = eliasfano.where(new)
+    size = np.empty_like(first)
+    size[:-1] = first[1:] - first[:-1]
+    size[-1:] = len(new) - first[-1:]
+    return first, size
 
 
 def _successors(level: eliasfano.Sequence, to: eliasfano.Sequence, node: np.ndarray, id_: np.ndarray) -> np.ndarray:
@@ -459,59 +466,58 @@ def _by_split(m: Model, kind: str, split: np.ndarray):
             yield order[i:j], _load(f"{m.folder}/{kind}-{k}")
 
 
-def pair_values(m: Model, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each (a, b) and the c after it (-1: none): q2(a b), b3(a b) or 1, q3(a b c). Like pairs should be neighbours."""
+def pair_values(m: Model, a: np.ndarray, b: np.ndarray, c: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each (a, b), ``hot`` if both are, and the c after it (-1: none), the codes of q2(a b), b3(a b) or 1, q3(a b c). Like
+    pairs should be neighbours."""
     n = len(a)
-    q2, b3, q3 = np.zeros(n), np.ones(n), np.zeros(n)
-    hot = np.isin(a, m.hot) & np.isin(b, m.hot) if len(m.hot) else np.zeros(n, dtype=bool)
-    cold = np.flatnonzero(~hot)
+    q2, b3, q3 = np.full(n, _NONE, dtype=np.uint16), np.zeros(n, dtype=np.uint16), np.full(n, _NONE, dtype=np.uint16)
+    cold = np.flatnonzero(~hot).astype(np.int32)
     for at, f in _by_split(m, "split", split_of(m, a[cold], b[cold])):
         rows = cold[at]
         first, size = _once(a[rows], b[rows])
         pos = np.repeat(_pairs(f, a[rows[first]], b[rows[first]]), size)
         rows, pos = rows[pos >= 0], pos[pos >= 0]
-        q2[rows], b3[rows] = _VALUE[f["q2"][pos]], _VALUE[f["b3"][pos]]
+        q2[rows], b3[rows] = f["q2"][pos], f["b3"][pos]
         some = np.flatnonzero(c[rows] >= 0)
         at = _successors(f["c"], f["to3"], pos[some], c[rows[some]])
-        q3[rows[some[at >= 0]]] = _VALUE[f["q3"][at[at >= 0]]]
+        q3[rows[some[at >= 0]]] = f["q3"][at[at >= 0]]
     hot = np.flatnonzero(hot)
     for at, f in _by_split(m, "pairs", split_of(m, a[hot], b[hot])):
         rows = hot[at]
         pos = eliasfano.find(f["key"], pair_key(a[rows], b[rows]))
         rows, pos = rows[pos >= 0], pos[pos >= 0]
-        q2[rows], b3[rows] = _VALUE[f["q2"][pos]], _VALUE[f["b3"][pos]]
+        q2[rows], b3[rows] = f["q2"][pos], f["b3"][pos]
     hot = hot[c[hot] >= 0]
     for at, f in _by_split(m, "after", split_of_three(m, a[hot], b[hot], c[hot])):
         rows = hot[at]
         node = eliasfano.find(f["key"], pair_key(a[rows], b[rows]))
         rows, node = rows[node >= 0], node[node >= 0]
         at = _successors(f["c"], f["to3"], node, c[rows])
-        q3[rows[at >= 0]] = _VALUE[f["q3"][at[at >= 0]]]
+        q3[rows[at >= 0]] = f["q3"][at[at >= 0]]
     return q2, b3, q3
 
 
 def log_probabilities(m: Model, unknown: float, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """log2 of each token's probability."""
     ids, w = _ids(m, h)
+    w = w.astype(np.int32)  # a block is large, so little is kept of each token
     p1_unknown = max(m.unknown, 1) / max(1, m.tokens)
     p1 = by_word(m, ids, "words", "p1", 0)
     p1 = np.where(ids < m.bases[-1], _VALUE[p1.astype(np.int64)], _VALUE[quantise(np.array([p1_unknown]))[0]])
-    p = p1[w].copy()
-    two = np.flatnonzero(doc[1:] == doc[:-1])  # token t and t+1
+    p = p1[w]
+    two = np.flatnonzero(doc[1:] == doc[:-1]).astype(np.int32)  # token t and t+1
     if not len(two):
         return np.log2(p)
     b2 = _backoff(m, ids, unknown)
-    key = w[two] * (len(ids) + 1) + w[two + 1]
-    after = np.full(len(two), -1, dtype=np.int64)
-    has = np.flatnonzero(two + 2 < len(w))
-    has = has[doc[two[has] + 2] == doc[two[has]]]
-    after[has] = ids[w[two[has] + 2]]
-    order = np.argsort(key)  # like pairs and their neighbours lie close in the levels
-    q2, b3, q3 = (np.empty(len(two)) for _ in range(3))
-    q2[order], b3[order], q3[order] = pair_values(m, ids[w[two[order]]], ids[w[two[order] + 1]], after[order])
-    p[two + 1] = q2 + b2[w[two]] * p1[w[two + 1]]
+    two = two[np.argsort(w[two] * np.int64(len(ids)) + w[two + 1])]  # like pairs and their neighbours lie close in the levels
+    third = np.minimum(two + 2, len(w) - 1)
+    has = (two + 2 < len(w)) & (doc[third] == doc[two])
+    word, hot = ids.astype(np.int32), np.isin(ids, m.hot)
+    q2, b3, q3 = pair_values(m, word[w[two]], word[w[two + 1]], np.where(has, word[w[third]], np.int32(-1)), hot[w[two]] & hot[w[two + 1]])
+    del third
+    p[two + 1] = _VALUE[q2] + b2[w[two]] * p1[w[two + 1]]
     t = two[has] + 2
-    p[t] = q3[has] + b3[has] * p[t]
+    p[t] = _VALUE[q3[has]] + _VALUE[b3[has]] * p[t]
     return np.log2(np.maximum(p, 1e-12))
 
 
@@ -521,7 +527,7 @@ def scored(docs: DataFrame, documents: DataFrame, least: int = MIN_COUNT) -> Dat
     common.small_batches(docs.sparkSession)
 
     def run(batches):
-        for ids, h, doc in _flushes(batches):
+        for ids, h, doc in _flushes(batches, BLOCK):
             n = np.bincount(doc, minlength=len(ids))
             bits = -np.bincount(doc, weights=log_probabilities(m, unknown, h, doc), minlength=len(ids)) if len(h) else np.zeros(len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(np.round(bits / np.maximum(n, 1), 6), mask=n == 0)], ["doc_id", "n_tokens", "bits_per_token"])
