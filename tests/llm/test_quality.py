@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from vireo.llm import common, quality
@@ -135,3 +136,13 @@ def test_long_texts_take_little_memory(spark):
     common.small_batches(spark)
     sizes = spark.range(40, numPartitions=1).selectExpr("repeat('word ', 200000) as text").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in bs), "n bigint").collect()
     assert max(r.n for r in sizes) <= 2 * common.BATCH_BYTES
+
+
+def test_long_texts_are_read_and_written_in_small_parts(spark, tmp_path):
+    """Row groups of long texts and the reader's batches stay small; by default a hundred rows come before the first look."""
+    common.small_batches(spark)
+    path = str(tmp_path / "long")
+    spark.range(60, numPartitions=1).selectExpr("id as doc_id", "array_join(transform(sequence(1, 60000), x -> hex(xxhash64(id, x))), ' ') as text").write.parquet(path)
+    file = pq.ParquetFile(next((tmp_path / "long").glob("*.parquet")))
+    assert max(file.metadata.row_group(k).total_byte_size for k in range(file.num_row_groups)) <= common.GROUP_BYTES + 4e6
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) * 1e6 <= 20e6

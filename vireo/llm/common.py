@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of an Arrow batch, and rows of a batch of the Parquet reader; texts may be long, so far fewer than Spark's
-#: defaults of 10,000 rows, 64 MB and 4,096 rows.
-BATCH_ROWS, BATCH_BYTES, READER_ROWS = 1000, 8 << 20, 256
+#: Rows and bytes of an Arrow batch, rows of a batch of the Parquet reader, and bytes of a row group; texts may be long, so far
+#: fewer than Spark's defaults of 10,000 rows, 64 MB, 4,096 rows and 128 MB.
+BATCH_ROWS, BATCH_BYTES, READER_ROWS, GROUP_BYTES = 1000, 8 << 20, 16, 32 << 20
 _own: dict[str, str] = {}
 
 
@@ -76,11 +76,15 @@ def drop_written(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep batches of texts small, in Arrow and in the Parquet reader, whatever the texts' lengths."""
+    """Keep batches of texts small, in Arrow and in the Parquet reader, whatever the texts' lengths. Likewise what is written: the
+    Parquet writer looks at the size of a page and of a row group after the first row, not after a hundred."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
+    spark.conf.set("parquet.block.size", str(GROUP_BYTES))
+    for what in ("page", "block"):
+        spark.conf.set(f"parquet.{what}.size.row.check.min", "1")
 
 
 def pass_rows(
