@@ -34,3 +34,12 @@ def test_best_and_all_equal_costs_pair_by_pair(spark, n):
         assert sorted(map(tuple, every.select("query_id", "fp_cost", "sig_ord").collect())) == sorted(pairs)
     for df in (got, every):
         assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("NestedLoop", "Cartesian"))
+
+
+def test_all_pairs_are_spread_over_tasks(spark, monkeypatch):
+    """However small the table of signatures is, a task makes a bounded number of pairs."""
+    monkeypatch.setattr(ts, "PAIRS", 500)
+    sigs = spark.range(0, 200, 1, 1).select(F.col("id").alias("sig_ord"), F.struct(F.array(F.col("id") + 100, F.lit(0).cast("bigint"), F.lit(0).cast("bigint")).alias("rare"), F.lit(255).alias("arity"), F.lit(255).alias("terms")).alias("fp"))
+    queries = sigs.where("sig_ord % 4 = 0").select(F.col("sig_ord").alias("query_id"), "fp", F.lit(False).alias("any_var"))
+    sizes = ts.coarse_batch(sigs, queries, None).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 200 * 50 and max(r["count"] for r in sizes) <= 8 * 500
