@@ -9,6 +9,8 @@ from vireo.functions.scalars import wildcard_pattern
 
 #: Small reference tables are broadcast up to this many rows; larger ones join by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Edges whose distinct ones one task finds, about.
+EDGES = 250_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -16,6 +18,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def distinct_edges(depends: DataFrame) -> DataFrame:
+    """(package, dependency), each pair once. Pairs are spread over as many tasks as their number asks for and are not gathered before,
+    so a task's memory does not grow with the input."""
+    tasks = max(1, -(-depends.count() // EDGES))
+    return depends.select("package", "dependency").repartition(tasks, "package", "dependency").distinct()
+
+
 # joins
 
 
@@ -52,7 +61,7 @@ def missing(wanted: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 def missing_dependencies(depends: DataFrame, packages: DataFrame) -> DataFrame:
     """(dependency, first_user, others, message) of dependencies (package, dependency) on unknown packages. Of the users
     the last in name order is named, as a fold that prepends leaves it first."""
-    bad = depends.select("package", "dependency").distinct().join(packages.select(F.col("package").alias("dependency")).distinct(), "dependency", "left_anti")
+    bad = distinct_edges(depends).join(packages.select(F.col("package").alias("dependency")), "dependency", "left_anti")
     users = bad.groupBy("dependency").agg(F.max("package").alias("first_user"), (F.count("*") - 1).alias("others"))
     more = F.when(F.col("others") > 0, F.concat(F.lit("; so do "), F.col("others").cast("string"), F.lit(" more"))).otherwise(F.lit(""))
     return users.withColumn("message", F.concat("first_user", F.lit(" depends on unknown package "), "dependency", more))
@@ -125,8 +134,9 @@ def with_placeholders(items: DataFrame, packages: DataFrame) -> DataFrame:
 
 def popularity(depends: DataFrame, packages: DataFrame) -> DataFrame:
     """(package, users): how many packages depend directly on each known package."""
-    known = packages.select(F.col("package").alias("dependency")).distinct()
-    return depends.select("package", "dependency").distinct().join(known, "dependency", "left_semi").groupBy(F.col("dependency").alias("package")).agg(F.count("*").alias("users"))
+    known = packages.select(F.col("package").alias("dependency"))
+    users = distinct_edges(depends).groupBy("dependency").agg(F.count("package").alias("users"))  # counts are fewer than edges, so they are joined
+    return users.join(known, "dependency", "left_semi").select(F.col("dependency").alias("package"), "users")
 
 
 def package_rank(packages: DataFrame, users: DataFrame, canonical: str | None = None, copies: tuple[str, ...] = ()) -> DataFrame:
